@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packsight.llm import mixing, simhash, urls
+from packsight.llm import mixing, simhash, substrings, tokens, urls
 from packsight.llm.common import table
 
 
@@ -17,10 +17,12 @@ def _docs(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str]
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": _docs(mixing.mix_sources),
+        "op3_token_ids": _docs(tokens.token_table),
         "op6_url_filter": lambda spark, sf_dir: urls.filter_urls(table(spark, sf_dir, "pages")),
+        "op7_substrings": _docs(substrings.query),
         "op10_simhash": _docs(simhash.query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op6_url_filter": urls.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op6_url_filter": urls.SQL, "op7_substrings": substrings.SQL}
