@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = C
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(name)), 0), dtype=np.int64)
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(name)), 0), dtype=np.int64)
         ends = np.cumsum(lengths)
         start = 0
         while start < batch.num_rows:
