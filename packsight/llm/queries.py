@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packsight.llm import mixing, simhash, substrings, tokens, urls
+from packsight.llm import langid, mixing, quality, simhash, substrings, tokens, toxicity, urls
 from packsight.llm.common import table
 
 
@@ -14,12 +14,19 @@ def _docs(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str]
     return lambda spark, sf_dir: run(table(spark, sf_dir, "documents"))
 
 
+def _labelled(run: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": _docs(mixing.mix_sources),
         "op3_token_ids": _docs(tokens.token_table),
+        "op4_language_id": _docs(langid.identify),
+        "op5_toxicity": _labelled(toxicity.score_toxicity),
         "op6_url_filter": lambda spark, sf_dir: urls.filter_urls(table(spark, sf_dir, "pages")),
         "op7_substrings": _docs(substrings.query),
+        "op8_quality": _labelled(quality.score_quality),
         "op10_simhash": _docs(simhash.query),
     }
 
