@@ -36,6 +36,8 @@ SAMPLE = 12_000
 STEMS = (4, 5, 6, 7)
 #: An entry needs this many distinct toxic documents, this share of them at least, and this precision.
 LEAST_DOCS, LEAST_SHARE, PRECISION = 5, 0.006, 0.9
+#: Documents at which an entry has half of its weight.
+DOUBT = 4
 
 # Closed word classes in English, French, German and Spanish.
 TARGETS = frozenset("you your yours he she they him her them this these tu te toi vous votre il elle ils du dich dir ihr euch er sie tú vosotros usted ustedes él ella ellos".split())
@@ -148,8 +150,7 @@ class Grammar:
         return out + [total] if total else out
 
     def score(self, text: str | None) -> float:
-        raw = sum(s / (1 + i) for i, s in enumerate(sorted(self.clauses(text), reverse=True)))
-        return float(1 / (1 + np.exp(-self.slope * (raw - self.middle))))
+        return float(1 / (1 + np.exp(-self.slope * (raw_score(self, text) - self.middle))))
 
 
 def _words(text: str) -> set[str]:
@@ -163,7 +164,7 @@ def _kind(text: str) -> int:
 
 
 def learn_lexicon(toxic: list[str], clean: list[str]) -> Grammar:
-    """Entries whose documents are toxic; weight 1 at full precision."""
+    """Entries whose documents are toxic. The weight is the precision, less the fewer documents stand for it."""
     distinct = {_kind(t): t for t in sorted(toxic)}
     seen: dict[str, int] = {}
     for text in distinct.values():
@@ -175,12 +176,11 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> Grammar:
     for text in clean:
         for item in _items(_words(text)) & candidates:
             against[item] += 1
-    scale = len(clean) / max(1, len(distinct))
     words, stems = {}, {}
     for item in sorted(candidates):
-        precision = (seen[item] + 0.5) / (seen[item] + against[item] / max(scale, 1.0) * scale + 1)
-        if precision >= PRECISION or seen[item] / (seen[item] + against[item]) >= PRECISION:
-            (stems if item.endswith("*") else words)[item.rstrip("*")] = float(min(1.0, precision + 0.1))
+        precision = seen[item] / (seen[item] + against[item])
+        if precision >= PRECISION:
+            (stems if item.endswith("*") else words)[item.rstrip("*")] = float(precision * seen[item] / (seen[item] + DOUBT))
     return Grammar(words, stems)
 
 
@@ -188,17 +188,32 @@ def _items(words: set[str]) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
-def calibrate(grammar: Grammar, toxic: list[str], clean: list[str]) -> Grammar:
-    """Put the middle of the curve where the sampled documents separate best; a clear gap is cut at a third of it."""
-    raw = lambda t: sum(s / (1 + i) for i, s in enumerate(sorted(grammar.clauses(t), reverse=True)))
-    a, b = np.sort([raw(t) for t in toxic]), np.sort([raw(t) for t in clean])
-    cuts = np.unique(np.concatenate((a, [0.25])))
+def raw_score(grammar: Grammar, text: str | None) -> float:
+    """The clauses' scores, the largest in full, the next by half, a third and so on."""
+    return sum(s / (1 + i) for i, s in enumerate(sorted(grammar.clauses(text), reverse=True)))
+
+
+def calibrate(toxic: list[str], clean: list[str]) -> Grammar:
+    """The lexicon of all samples, and a curve that crosses the threshold where documents separate with fewest errors.
+
+    The curve is found on documents that the lexicon did not see: each half is scored with the other half's.
+    """
+    halves = [([t for t in side if _kind(t) % 2 == k] for side in (toxic, clean)) for k in (0, 1)]
+    (t0, c0), (t1, c1) = (tuple(h) for h in halves)
+    a, b = [], []
+    for (t, c), (other_t, other_c) in (((t0, c0), (t1, c1)), ((t1, c1), (t0, c0))):
+        half = learn_lexicon(other_t, other_c)
+        a += [raw_score(half, x) for x in t]
+        b += [raw_score(half, x) for x in c]
+    a, b = np.sort(a), np.sort(b)
+    cuts = np.unique(np.concatenate((a, b, [0.25])))
     cuts = cuts[cuts > 0]
-    wrong = np.searchsorted(a, cuts, side="left") / max(1, len(a)) + (len(b) - np.searchsorted(b, cuts, side="left")) / max(1, len(b))
-    best = float(cuts[int(np.argmin(np.round(wrong, 3)))])
+    wrong = np.searchsorted(a, cuts, side="left") + (len(b) - np.searchsorted(b, cuts, side="left"))
+    best = float(cuts[int(np.argmin(wrong))])
     below = max([x for x in np.concatenate((a, b)) if x < best], default=0.0)
-    edge = min(best - 1e-6, max(below + (best - below) / 3, 0.05))
-    slope = 4.0 / max(edge, 0.05)
+    edge = max(below + (best - below) / 2, 0.05)
+    slope = 4.0 / edge
+    grammar = learn_lexicon(toxic, clean)
     return Grammar(grammar.words, grammar.stems, slope, edge - np.log(THRESHOLD / (1 - THRESHOLD)) / slope)
 
 
@@ -210,7 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     toxic, clean = ([t for y, t in pairs if y == k] for k in (1, 0))
     if not toxic or not clean:
         return Grammar({}, {})
-    return calibrate(learn_lexicon(toxic, clean), toxic, clean)
+    return calibrate(toxic, clean)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: Grammar | None = None) -> DataFrame:
