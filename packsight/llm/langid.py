@@ -34,6 +34,8 @@ RATIO = 0.4
 FLOOR = 0.25
 #: The pipeline keeps a document whose score is at least this.
 MIN_SCORE = 0.1
+#: ... or that is too short to tell: fewer letters' bytes than this.
+EVIDENCE = 40
 UNKNOWN = "und"
 HELD_OUT = (4, 2)
 
@@ -171,7 +173,8 @@ def identify(docs: DataFrame, model: Filter | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Filter | None = None) -> DataFrame:
-    """The documents, all columns, whose language is known: those that are und or score under ``MIN_SCORE`` go."""
+    """The documents, all columns, whose language is known: und goes, and so do texts of ``EVIDENCE`` letters or more that score
+    under ``MIN_SCORE``: they are in none of the learned languages."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model or learn(docs))
     ship(spark)
@@ -179,6 +182,8 @@ def keep_known(docs: DataFrame, model: Filter | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=2 << 20):
             names, score = held.value.predict(batch.column("text").to_pylist())
-            yield batch.filter(pa.array((np.array(names, dtype=object) != UNKNOWN) & (score >= MIN_SCORE)))
+            short = [len(folded(t or "")) < EVIDENCE for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array((np.array(names, dtype=object) != UNKNOWN) & ((score >= MIN_SCORE) | np.array(short))))
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+    typed = docs.withColumn("text", F.col("text").cast("string"))
+    return typed.mapInArrow(run, typed.schema)

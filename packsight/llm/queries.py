@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packsight.llm import langid, mixing, quality, simhash, substrings, tokens, toxicity, urls
+from packsight.llm import decontam, langid, mixing, quality, simhash, substrings, tokens, toxicity, urls
 from packsight.llm.common import table
 
 
@@ -18,9 +18,16 @@ def _labelled(run: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[Spa
     return lambda spark, sf_dir: run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": _docs(mixing.mix_sources),
+        "op2_decontaminate": lambda spark, sf_dir: decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op3_token_ids": _docs(tokens.token_table),
         "op4_language_id": _docs(langid.identify),
         "op5_toxicity": _labelled(toxicity.score_toxicity),
@@ -28,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_substrings": _docs(substrings.query),
         "op8_quality": _labelled(quality.score_quality),
         "op10_simhash": _docs(simhash.query),
+        "pipeline": _pipeline,
     }
 
 
