@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packsight.llm import decontam, langid, mixing, quality, simhash, substrings, tokens, toxicity, urls
+from packsight.llm import decontam, langid, mixing, quality, search, simhash, substrings, tokens, toxicity, urls
 from packsight.llm.common import table
 
 
@@ -34,10 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filter": lambda spark, sf_dir: urls.filter_urls(table(spark, sf_dir, "pages")),
         "op7_substrings": _docs(substrings.query),
         "op8_quality": _labelled(quality.score_quality),
+        "op9_bm25_search": _docs(search.query),
         "op10_simhash": _docs(simhash.query),
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op6_url_filter": urls.SQL, "op7_substrings": substrings.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op6_url_filter": urls.SQL, "op7_substrings": substrings.SQL, "op9_bm25_search": search.SQL}
