@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from packsight.functions.images import encode_png
 from packsight.operators.metadata import metadata
+from packsight.operators.ranking import order_statistic
 from packsight.operators.package import IconOptions, Package, Recording, render
 from packsight.operators.tables import flat_map
 
@@ -95,13 +96,10 @@ class Session:
 
 
 def stage_report(timings: DataFrame) -> DataFrame:
-    """(stage, ms) -> count, sum, mean, population deviation, lower-index percentiles and range by stage."""
-    return timings.groupBy("stage").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("ms").alias("total_ms"), F.min("ms").alias("min_ms"), F.avg("ms").alias("avg_ms"), F.stddev_pop("ms").alias("std_ms"),
-        lower_percentile("ms", 0.5).alias("p50_ms"), lower_percentile("ms", 0.95).alias("p95_ms"), F.max("ms").alias("max_ms"),
-    )
-
-
-def lower_percentile(name: str, p: float):
-    """The element at floor((n - 1) p) of the sorted values: no interpolation, and no sorted list of a whole group."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {name})") if p in (0.0, 1.0) else F.element_at(F.sort_array(F.collect_list(name)), (F.floor((F.count(name) - 1) * F.lit(p)) + 1).cast("int"))
+    """(stage, ms) -> count, sum, range, mean, population deviation and lower-index percentiles by stage."""
+    out = timings.groupBy("stage").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("ms").alias("total_ms"), F.min("ms").alias("min_ms"), F.avg("ms").alias("avg_ms"), F.stddev_pop("ms").alias("std_ms"), F.max("ms").alias("max_ms")
+    )
+    for name, p in (("p50_ms", 0.5), ("p95_ms", 0.95)):
+        out = out.join(order_statistic(timings, "stage", "ms", p).withColumnRenamed("ms", name), "stage")
+    return out

@@ -68,3 +68,15 @@ def first_success(df: DataFrame, group: list[str], rank: str, ok: str) -> DataFr
 def tiers(*columns: str) -> Column:
     """The first column that has a value."""
     return F.coalesce(*columns)
+
+
+def order_statistic(df: DataFrame, group: str, value: str, p: float) -> DataFrame:
+    """The value at floor((n - 1) p) of each group's sorted values.
+
+    Values are counted first, so what is ranked is one row per distinct value, and a hot group shrinks before it moves.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
+    total = counted.groupBy(group).agg(F.sum("__n").alias("__total"))
+    running = counted.withColumn("__upto", F.sum("__n").over(Window.partitionBy(group).orderBy(value)))
+    at = F.floor((F.col("__total") - 1) * F.lit(p))
+    return running.join(total, group).where((F.col("__upto") > at) & (F.col("__upto") - F.col("__n") <= at)).select(group, value)
