@@ -42,7 +42,7 @@ def best_raster(entries: DataFrame, dpi: int = 480) -> DataFrame:
 
 def resource_paths(entries: DataFrame) -> DataFrame:
     """Entries with the resource kind, name and ending that their paths spell; lookups by name are then equi-joins."""
-    long_form = F.regexp_extract("path", r"^res/([a-z]+)[^/]*/([^/]+)\.(png|webp|jpg|jpeg|xml)$", F.lit(0)) != ""
+    long_form = F.regexp_extract("path", r"^res/([a-z]+)[^/]*/([^/]+)\.(png|webp|jpg|jpeg|xml)$", 0) != ""
     part = lambda i: F.regexp_extract("path", r"^(?:res/([a-z]+)[^/]*|r/[^/]+)/([^/]+)\.(png|webp|jpg|jpeg|xml)$", i)
     out = entries.withColumn("res_name", part(2)).where("res_name != ''")
     return out.withColumns({"res_type": F.nullif(part(1), F.lit("")), "ending": part(3), "long_form": long_form})

@@ -275,10 +275,10 @@ def density_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part", "p_size").groupBy(bucket(F.col("p_size")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q_lww_dup", "SELECT l_partkey, l_suppkey, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS price, max(l_orderkey * 10 + l_linenumber) AS place FROM lineitem GROUP BY ALL")
+@query("q_lww_dup", "SELECT l_partkey, l_suppkey, arg_max(l_extendedprice, (l_orderkey * 10 + l_linenumber) * 1000000.0::DOUBLE + l_extendedprice) AS price, max(l_orderkey * 10 + l_linenumber) AS place FROM lineitem GROUP BY ALL")
 def last_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = t(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice").withColumn("place", F.expr("l_orderkey * 10 + l_linenumber"))
-    return lines.groupBy("l_partkey", "l_suppkey").agg(F.max_by("l_extendedprice", "place").alias("price"), F.max("place").alias("place"))
+    return lines.groupBy("l_partkey", "l_suppkey").agg(F.max_by("l_extendedprice", F.col("place") * F.lit(1000000.0) + F.col("l_extendedprice")).alias("price"), F.max("place").alias("place"))
 
 
 # --- over generated packages: no SQL equivalent ---
