@@ -10,6 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from packsight.session import local_session
 
-    session = local_session(4, "tests", 4)
+    session = local_session(2, "tests", 4)
     yield session
     session.stop()

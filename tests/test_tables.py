@@ -113,3 +113,14 @@ def test_files_pushdown_and_streaming(spark, tmp_path):
     run = ingest(arriving(spark, str(tmp_path)), tables.entries, str(tmp_path / "out"), str(tmp_path / "log"))
     run.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where(F.col("path") == MANIFEST).count() == 4
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from packsight.__main__ import main, stages
+
+    (tmp_path / "a.apk").write_bytes(package(1))
+    main(["inspect", str(tmp_path)])
+    assert "ic_launcher.png" in capsys.readouterr().out
+    main(["render", str(tmp_path), "--size", "16", "--out", str(tmp_path / "icons")])
+    assert spark.read.parquet(str(tmp_path / "icons")).first().width == 16
+    assert stages(tables.containers(spark, str(tmp_path)), 1).count() == 5
