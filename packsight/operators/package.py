@@ -6,6 +6,7 @@ and no shuffle. What can be said over tables is in ``metadata`` and ``ranking``.
 
 from __future__ import annotations
 
+import logging
 import pickle
 import re
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ from packsight.sources.archive import MANIFEST, TABLE, Archive, BadPackage, open
 from packsight.sources.chunks import Attribute, Node, ResourceTable, named, parse_xml
 
 DEPTH = 5
+log = logging.getLogger("packsight.icons")
 
 
 @dataclass(frozen=True)
@@ -224,10 +226,12 @@ class Package:
         """By reference, else the best adaptive icon, else the best launcher image by name."""
         for tier, ref in self.icon_refs():
             found = self.record_ref(ref, 0)
+            log.debug("%s icon %s: %s", tier, ref, "found" if found else "not found")
             if found:
                 found.icon_ref, found.tier = ref, tier
                 return found
         path = self.adaptive_candidate()
+        log.debug("adaptive icon by scan: %s", path)
         node = self.node(path) if path else None
         found = self.record_node(node, 0, path) if node else None
         if found:

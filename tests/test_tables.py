@@ -124,3 +124,17 @@ def test_command_line(spark, tmp_path, capsys):
     main(["render", str(tmp_path), "--size", "16", "--out", str(tmp_path / "icons")])
     assert spark.read.parquet(str(tmp_path / "icons")).first().width == 16
     assert stages(tables.containers(spark, str(tmp_path)), 1).count() == 5
+
+
+def test_calls_by_path_bytes_and_table(spark, tmp_path):
+    from packsight import api
+
+    (tmp_path / "a.apk").write_bytes(package(2))
+    given = [("a", package(2))]
+    for packages_ in (str(tmp_path), given, api.packages(spark, given)):
+        assert api.inspect_icons(spark, packages_).first().icon_ref == "@drawable/alias"
+    assert api.extract_png(spark, given).columns == ["container_id", "png"] and api.extract_png(spark, given).first().png[:4] == b"\x89PNG"
+    assert api.metadata(spark, given).first().package_name == "com.example.app2" and api.permissions(spark, given).count() == 3
+    assert api.preview(spark, given).first().png and api.open_session(spark, given).metadata().count() == 1
+    bundle = write_archive([("base.apk", package(2), 0)])
+    assert bytes(api.base_packages(spark, [("b", bundle)]).first().content) == package(2) and api.metadata(spark, [("b", bundle)]).count() == 1
