@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -30,8 +32,17 @@ def local_session(cores: int | str = "*", app: str = "packsight", partitions: in
     return spark
 
 
+#: Rows that cross over to Python at a time, at most: they hold whole texts or packages.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python stages find it anywhere."""
+    """Send this package to the executors once per application, so that Python stages find it anywhere.
+
+    Batches for Python are capped at ``BATCH_ROWS`` rows in this session, unless it caps them lower.
+    """
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -45,13 +56,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none, one under /tmp is set."""
+    """The folder that driver and executors share. Only where the cluster names none, one under /tmp is set, and removed
+    again when this process ends."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = now.get() if now.isDefined() else None
     if not found:
-        found = f"file:///tmp/checkpoints/packsight-{spark.sparkContext.applicationId}"
+        own = f"/tmp/checkpoints/packsight-{spark.sparkContext.applicationId}"
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
