@@ -1,17 +1,21 @@
 """Package metadata as a Catalyst plan over the node, attribute, entry and resource tables.
 
-All four tables come from a container without a shuffle; here they meet on container_id alone. Manifests are small, so
+The tables come from a container without a shuffle; here they meet on container_id alone. Manifests are small, so
 the grouped aggregates reduce to one row per container on the map side.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packsight.operators import tables
+from packsight.operators.package import Package
 from packsight.operators.rules import abi_col
 from packsight.sources import chunks
+from packsight.sources.chunks import named
 
 PERMISSION_TAGS = ("uses-permission", "uses-permission-sdk-23")
 
@@ -50,24 +54,38 @@ def boolean_text(c: Column) -> Column:
     return ~F.lower(F.trim(c)).isin("false", "0", "no")
 
 
-def attributes_by_node(nodes: DataFrame, attrs: DataFrame) -> DataFrame:
-    """One row per node with the attributes that metadata reads, the first of each name that has a value."""
+def attributes_by_node(manifest: DataFrame) -> DataFrame:
+    """One row per node with the attributes that metadata reads, the first of each name that has a value.
+
+    Rows are dealt by container alone, which the grouping by node here and that by container later both accept: one
+    shuffle for all of it.
+    """
     wanted = {
         "package": attribute_text(), "versionCode": attribute_int(), "versionName": attribute_text(), "minSdkVersion": attribute_int(),
         "targetSdkVersion": attribute_int(), "label": attribute_text(), "icon": attribute_text(), "enabled": attribute_text(),
         "name": attribute_text(), "required": attribute_text(), "maxSdkVersion": attribute_int(),
     }
     picked = [F.min_by(value, F.when(named_col(n) & value.isNotNull(), F.col("ord"))).alias(f"a_{n}") for n, value in wanted.items()]
-    grouped = attrs.where("error IS NULL").groupBy("container_id", "node_id").agg(*picked)
-    return nodes.where("error IS NULL").select("container_id", "node_id", "parent_id", "tag").join(grouped, ["container_id", "node_id"], "left")
+    return manifest.where("error IS NULL").repartition("container_id").groupBy("container_id", "node_id", "parent_id", "tag").agg(*picked)
+
+
+def declared_permissions() -> Column:
+    """Of a container's nodes, the permissions by name, the first declaration of each."""
+    name = F.trim("a_name")
+    required = F.coalesce(boolean_text(F.col("a_required")), F.lit(True))
+    row = F.struct(name.alias("name"), F.col("node_id"), F.col("a_maxSdkVersion").alias("max_sdk_version"), required.alias("required"))
+    return F.array_sort(F.collect_list(F.when(F.col("tag").isin(*PERMISSION_TAGS) & (name != ""), row)))
+
+
+def first_of_each(listed: str) -> Column:
+    distinct = F.filter(listed, lambda x, i: (i == 0) | (F.get(F.col(listed), i - 1)["name"] != x["name"]))
+    return F.transform(distinct, lambda x: F.struct(x["name"].alias("name"), x["max_sdk_version"].alias("max_sdk_version"), x["required"].alias("required")))
 
 
-def permissions_of(nodes: DataFrame) -> DataFrame:
-    """(container_id, name, max_sdk_version, required): the first declaration of each name."""
-    declared = nodes.where(F.col("tag").isin(*PERMISSION_TAGS)).withColumn("permission", F.trim("a_name")).where("permission != ''")
-    first = declared.groupBy("container_id", "permission").agg(F.min_by(F.struct("a_maxSdkVersion", "a_required"), "node_id").alias("p"))
-    required = F.coalesce(boolean_text(F.col("p.a_required")), F.lit(True)).alias("required")
-    return first.select("container_id", F.col("permission").alias("name"), F.col("p.a_maxSdkVersion").alias("max_sdk_version"), required)
+def permissions_of(manifest: DataFrame) -> DataFrame:
+    """(container_id, name, max_sdk_version, required)."""
+    listed = attributes_by_node(manifest).groupBy("container_id").agg(declared_permissions().alias("listed"))
+    return listed.select("container_id", F.explode(first_of_each("listed")).alias("p")).select("container_id", "p.*")
 
 
 def architectures_of(entries: DataFrame) -> DataFrame:
@@ -94,41 +112,59 @@ def resolve_references(values: DataFrame, depth: int = 6) -> DataFrame:
     return out
 
 
-def metadata_of(nodes: DataFrame, attrs: DataFrame, entries: DataFrame, values: DataFrame) -> DataFrame:
+def texts_of(values: DataFrame) -> DataFrame:
+    """(container_id, res_id, str): the first text that is not blank, from a res_values table."""
+    good = resolve_references(values).where("trim(str) != ''")
+    return good.groupBy("container_id", "root").agg(F.min_by("str", "route").alias("str")).withColumnRenamed("root", "res_id")
+
+
+def label_texts(df: DataFrame) -> DataFrame:
+    """The same for the label of each container's application alone, resolved where the blob is read."""
+
+    def rows(data: bytes) -> list[tuple]:
+        found = Package(data)
+        if found.manifest is None or found.table is None:
+            return []
+        labels = [a for n in found.manifest.walk() if n.tag == "application" for a in n.attributes if named(a, "label")]
+        written = [re.fullmatch(r"@(?:0[xX])?([0-9a-fA-F]{1,8})", a.raw or "") for a in labels]
+        ids = [a.data for a in labels if a.type == chunks.T_REFERENCE] + [chunks.signed(int(m[1], 16)) for m in written if m]
+        return [(i, found.table.string(i)) for i in dict.fromkeys(ids)]
+
+    return tables.flat_map(df, rows, "container_id string, res_id int, str string")
+
+
+def metadata_of(manifest: DataFrame, entries: DataFrame, texts: DataFrame) -> DataFrame:
     """One row per container whose manifest names a package."""
-    by_node = attributes_by_node(nodes, attrs)
     when = lambda tag, value: F.when((F.col("tag") == tag) & value.isNotNull(), F.col("node_id"))
     first = lambda tag, value: F.min_by(value, when(tag, value))
     last = lambda tag, value: F.max_by(value, when(tag, value))
     root = lambda name: F.min_by(F.col(f"a_{name}"), F.when(F.col("parent_id").isNull(), F.col("node_id")))
     icon = F.nullif(F.trim("a_icon"), F.lit(""))
     alias = F.when(F.coalesce(F.col("a_enabled"), F.lit("true")) != "false", icon)
-    one = by_node.groupBy("container_id").agg(
+    one = attributes_by_node(manifest).groupBy("container_id").agg(
         root("package").alias("package_name"), root("versionCode").alias("code"), root("versionName").alias("version_name"),
         last("uses-sdk", F.col("a_minSdkVersion")).alias("min1"), root("minSdkVersion").alias("min2"),
         last("uses-sdk", F.col("a_targetSdkVersion")).alias("target1"), root("targetSdkVersion").alias("target2"),
         first("application", F.col("a_label")).alias("label"), first("application", icon).alias("icon1"), first("activity-alias", alias).alias("icon2"),
+        declared_permissions().alias("listed"),
     ).where("trim(package_name) != ''")
     label_id = F.regexp_replace("label", "^@(?:0[xX])?", "")
     unsigned = F.when(F.col("label").startswith("@") & label_id.rlike("^[0-9a-fA-F]{1,8}$"), F.conv(label_id, 16, 10).cast("long"))
-    one = one.withColumn("label_id", F.when(unsigned >= 1 << 31, unsigned - (1 << 32)).otherwise(unsigned).cast("int"))
-    texts = resolve_references(values).where("trim(str) != ''").groupBy("container_id", "root").agg(F.min_by("str", "route").alias("resolved"))
-    one = one.join(texts, (one["container_id"] == texts["container_id"]) & (one["label_id"] == texts["root"]), "left").drop(texts["container_id"])
-    listed = permissions_of(by_node).groupBy("container_id").agg(F.array_sort(F.collect_list(F.struct("name", "max_sdk_version", "required"))).alias("permissions"))
+    one = one.withColumn("res_id", F.when(unsigned >= 1 << 31, unsigned - (1 << 32)).otherwise(unsigned).cast("int"))
+    texts = texts.where("trim(str) != ''").select("container_id", "res_id", F.col("str").alias("resolved"))
     min_sdk = F.coalesce("min1", "min2")
-    permissions_type = "array<struct<name:string,max_sdk_version:int,required:boolean>>"
-    return one.join(architectures_of(entries), "container_id", "left").join(listed, "container_id", "left").select(
+    return one.join(architectures_of(entries), "container_id", "left").join(texts, ["container_id", "res_id"], "left").select(
         "container_id", "package_name", F.when(F.col("label").startswith("@"), F.col("resolved")).otherwise(F.col("label")).alias("application_label"),
         F.greatest(F.coalesce("code", F.lit(1)), F.lit(1)).alias("version_code"), "version_name", min_sdk.alias("min_sdk"),
         F.coalesce("target1", "target2", min_sdk).alias("target_sdk"), F.coalesce("architectures", F.array().cast("array<string>")).alias("architectures"),
-        F.coalesce("permissions", F.array().cast(permissions_type)).alias("permissions"), F.coalesce("icon1", "icon2").alias("launcher_icon_ref"),
+        first_of_each("listed").alias("permissions"), F.coalesce("icon1", "icon2").alias("launcher_icon_ref"),
     )
 
 
 def metadata(df: DataFrame) -> DataFrame:
     """Metadata of containers; those without a readable manifest or package name have no row."""
-    return metadata_of(tables.xml_nodes(df), tables.xml_attrs(df), tables.entries(df), tables.res_values(df))
+    return metadata_of(tables.manifest_rows(df), tables.entries(df), label_texts(df))
 
 
 def permissions(df: DataFrame) -> DataFrame:
-    return permissions_of(attributes_by_node(tables.xml_nodes(df), tables.xml_attrs(df)))
+    return permissions_of(tables.manifest_rows(df))

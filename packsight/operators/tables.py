@@ -22,6 +22,7 @@ CONTAINERS = "container_id string, path string, length long, content binary"
 ENTRIES = "container_id string, cd_index int, path string, method int, csize long, usize long, lho long"
 NODES = "container_id string, file string, node_id int, parent_id int, depth int, ord int, tag string, ns string"
 ATTRIBUTES = "container_id string, file string, node_id int, ord int, ns string, name string, raw string, vtype int, vdata int"
+MANIFEST_ROWS = "container_id string, node_id int, parent_id int, tag string, ord int, name string, raw string, vtype int, vdata int"
 VALUES = "container_id string, res_id int, config_ord int, value_ord int, kind string, str string, argb int, ref_id int"
 ERROR = ", error string"
 #: Rows that a Python stage hands back at a time.
@@ -131,6 +132,20 @@ def xml_attrs(df: DataFrame, files: str = "manifest", mode: str = "PERMISSIVE")
     return flat_map(df, rows, ATTRIBUTES, mode)
 
 
+def manifest_rows(df: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """Nodes and attributes of manifests in one pass: a row per attribute, one with null name for a node without any."""
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        for _, root in _documents(data, "manifest"):
+            for node, number, parent, *_ in _walk(root):
+                for i, a in enumerate(node.attributes):
+                    yield number, parent, node.tag, i, a.name, a.raw, a.type, a.data
+                if not node.attributes:
+                    yield number, parent, node.tag, None, None, None, None, None
+
+    return flat_map(df, rows, MANIFEST_ROWS, mode)
+
+
 def res_values(df: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     def rows(data: bytes) -> Iterator[tuple]:
         content = open_package(data).read(TABLE)

@@ -138,3 +138,8 @@ def test_calls_by_path_bytes_and_table(spark, tmp_path):
     assert api.preview(spark, given).first().png and api.open_session(spark, given).metadata().count() == 1
     bundle = write_archive([("base.apk", package(2), 0)])
     assert bytes(api.base_packages(spark, [("b", bundle)]).first().content) == package(2) and api.metadata(spark, [("b", bundle)]).count() == 1
+
+
+def test_labels_by_tables_and_on_the_spot_agree(packages):
+    by_tables = metadata.metadata_of(tables.manifest_rows(packages), tables.entries(packages), metadata.texts_of(tables.res_values(packages)))
+    assert sorted(map(str, by_tables.collect())) == sorted(map(str, metadata.metadata(packages).collect()))
