@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python stages cut their input into pieces of about this many bytes of text, whatever a batch holds.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +50,15 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = C
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
+
+
+def trim() -> None:
+    """Give back what the stage has freed: Python workers live on, and idle ones would keep it from others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def sample_rows(df: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packsight.llm.common import id_and_text, texts
+from packsight.llm.common import id_and_text, texts, trim
 from packsight.llm.components import connected_components
 from packsight.session import Scratch, ship
 
@@ -117,6 +117,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         fps = np.array([fingerprint(t) for t in texts(batch.column("text"))], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+    trim()
 
 
 def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +127,7 @@ def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = fps[at : at + 4096]
             row, code, home = anchors(part.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(part[row]), pa.array(home)], ["anchor", "fp", "home"])
+    trim()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -168,6 +170,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     prints = scratch.keep(fingerprints(docs), "prints")
     distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(links(distinct.select("fp"), scratch)).select(F.col("node").alias("fp"), "root")
+    scratch.drop("met")  # the components are checkpointed
     member = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     first = member.groupBy("root").agg(F.min("first").alias("component_id"))
     component = member.join(first, "root").select("fp", "component_id")
