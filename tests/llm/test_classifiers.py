@@ -77,8 +77,9 @@ def test_language_edge_cases(spark, data):
 
 
 def test_many_languages_use_several_words_of_bits(spark):
-    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}xyz " * 20 + f"only{i % 70}", f"l{i % 70:02}", "s", 0) for i in range(420)]
-    df = spark.createDataFrame([(i, f"zq{i % 70:02d}abc".translate(str.maketrans("0123456789", "ghijklmnop")) + " " * (i % 3) + " wort", f"l{i % 70:02}", "s", 0) for i in range(len(rows))], "doc_id long, text string, lang string, source string, n_chars long")
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    rows = [(i, f"zq{i % 70:02d}abc".translate(letters) + " " * (i % 3) + " wort", f"l{i % 70:02}", "s", 0) for i in range(420)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = identify(df).join(df.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.95
 
