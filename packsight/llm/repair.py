@@ -89,8 +89,8 @@ def compress(ids: np.ndarray, first: int) -> Grammar:
     return Grammar(first, np.concatenate(left) if left else none, np.concatenate(right) if right else none, seq)
 
 
-def expand(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The ids that the symbols stand for; each pass opens one level of rules."""
+def _open(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Rules opened level by level until only ids are left."""
     seq = symbols.astype(np.int64)
     while (open_ := seq >= first).any():
         place = np.arange(len(seq)) + np.cumsum(open_) - open_
@@ -103,6 +103,20 @@ def expand(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray)
     return seq
 
 
+def expand(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ids that the symbols stand for. Rules are opened once, each; symbols then copy what theirs came to."""
+    used = np.unique(symbols[symbols >= first]) - first
+    flat = np.concatenate((_open(used + first, first, left, right), np.arange(first)))
+    begin = np.zeros(first + len(left), dtype=np.int64)
+    count = np.ones(first + len(left), dtype=np.int64)
+    begin[used + first] = np.cumsum(size[used]) - size[used]
+    count[used + first] = size[used]
+    begin[:first] = int(size[used].sum()) + np.arange(first)
+    each = count[symbols]
+    upto = np.cumsum(each)
+    return flat[np.repeat(begin[symbols] - (upto - each), each) + np.arange(int(upto[-1]) if len(upto) else 0)]
+
+
 def pack(doc_ids: list[int | None], tokens: list[np.ndarray], first: int) -> bytes:
     ids = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int64)
     grammar = compress(ids, first)
@@ -144,7 +158,7 @@ class Shard:
         self.symbols = take("<u4" if width == 4 else "<u2", symbols)
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.first, self.left, self.right)
+        return expand(self.symbols.astype(np.int64), self.first, self.left, self.right, self.size)
 
     def document(self, i: int) -> np.ndarray:
         """One document's ids; only the symbols that cover it are opened."""
@@ -156,4 +170,4 @@ class Shard:
         last = int(np.searchsorted(self.places, end, side="left"))
         part = self.symbols[block * self.stride : last * self.stride]
         base = int(self.places[block])
-        return expand(part, self.first, self.left, self.right)[begin - base : end - base]
+        return _open(part, self.first, self.left, self.right)[begin - base : end - base]

@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,15 @@ from packsight.llm.repair import Shard, pack
 from packsight.session import Scratch, ship
 
 END = 1
+#: Pieces whose merges the tokenizer's model remembers.
+MERGED = 100_000
+#: Words that normalisation leaves alone but for lower case: letters of Latin-1, ASCII digits and signs.
+SIMPLE = regex.compile("[!-~À-ÖØ-öø-ÿ]+")
+# Fixed value: how this tokenizer cuts a text into pieces.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Byte-level tokens write bytes that are no printable character as the characters from 256 on.
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
 SHARD_TOKENS = 1 << 20
 #: Words whose ids a Python worker remembers; beyond, it forgets them all and starts anew.
 REMEMBERED = 1_000_000
@@ -47,8 +57,8 @@ def _encoder(path: str) -> Encoder:
 class Encoder:
     """The tokenizer, asked once for each distinct word that a worker meets.
 
-    Texts are cut at spaces (0x20) only: this tokenizer drops white space and no token, normalisation or added token
-    spans a space, so the ids of a text are those of its pieces one after the other. Arrow cuts the texts and finds
+    Texts are cut at spaces, tabs and line ends: this tokenizer drops white space and no token, normalisation or added
+    token spans any, so the ids of a text are those of its words one after the other. Arrow cuts the texts and finds
     the distinct words; numpy puts their ids together.
     """
 
@@ -58,30 +68,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.tokenizer.model._resize_cache(MERGED)
         self.forget()
 
     def forget(self) -> None:
-        """Word 0 is the end of a document."""
-        self.known: dict[str, int] = {}
+        """Word 0 is the end of a document; word i + 1 is words[i]."""
+        self.words = pa.array([], pa.large_string())
         self.flat, self.ends = array("I", [END]), array("L", [0, 1])
 
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = len(self.ends) - 1
-                self.flat.extend(got.ids)
-                self.ends.append(len(self.flat))
+    def learn(self, words: pa.Array) -> None:
+        """Words of plain letters and signs are cut into the tokenizer's pieces here, and its model merges each piece;
+        for words of other scripts, and with marks of special tokens, the tokenizer does all of it."""
+        single: list[str] = []
+        ends, extend = self.ends, self.flat.extend
+        simple, cut, merge = SIMPLE.fullmatch, PIECES.findall, self.tokenizer.model.tokenize
+        done = []
+        for word in words.to_pylist():
+            if word.isascii() and word.isalpha():
+                extend([t.id for t in merge(word.lower())])
+            elif simple(word) and "<|" not in word:
+                for piece in cut(word.lower()):
+                    extend([t.id for t in merge(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES))])
+            else:
+                single.append(word)
+                continue
+            done.append(word)
+            ends.append(len(self.flat))
+        for at in range(0, len(single), 20_000):
+            for got in self.tokenizer.encode_batch_fast(single[at : at + 20_000], add_special_tokens=False):
+                extend(got.ids)
+                ends.append(len(self.flat))
+        self.words = pa.concat_arrays([self.words, pa.array(done + single, pa.large_string())])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and how many each text has."""
-        cut = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        for space in "\n\t":
+            texts = pc.replace_substring(texts, space, " ")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)  # the tokenizer would; and fewer words differ
+        cut = pc.split_pattern(texts, " ")
         words = cut.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > REMEMBERED:
-            self.forget()
-        self.learn([w for w in distinct if w not in self.known])
-        code = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        code = pc.index_in(words.dictionary, value_set=self.words)
+        if code.null_count:
+            if len(self.words) + code.null_count > REMEMBERED:
+                self.forget()
+                self.learn(words.dictionary)
+            else:
+                self.learn(words.dictionary.filter(code.is_null()))
+            code = pc.index_in(words.dictionary, value_set=self.words)
+        code = code.to_numpy().astype(np.int64) + 1
         offsets = cut.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         sequence = np.insert(code[words.indices.to_numpy()], offsets[1:], 0)
@@ -105,7 +141,7 @@ def _write(path: str):
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-        for batch in pieces(batches, limit=4 << 20):
+        for batch in pieces(batches, limit=3 << 20):
             flat, counts = encoder(batch.column("text"))
             for doc_id, got in zip(batch.column("doc_id").to_pylist(), np.split(flat, np.cumsum(counts)[:-1]), strict=True):
                 if ids and held + len(got) > SHARD_TOKENS:
