@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,17 +34,18 @@ COMMON_SHARE = 0.004
 COMMON_LEAST = 64
 #: Buckets for each shuffle partition.
 BUCKETS = 4
+#: Compression of what is shuffled.
+LEVEL = 6
 #: Stands for a null id: larger than any other.
 LAST = (1 << 63) - 1
-WORDS = "key long, mark long, text string"
 FOUND = "key long, mark long, begin int, stop int"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _code(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _code(words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words, and a 64-bit hash of each number's word."""
-    coded = pa.array(words, pa.binary()).dictionary_encode()
+    coded = (words if isinstance(words, pa.Array) else pa.array(words, pa.binary())).dictionary_encode()
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
     return coded.indices.to_numpy().astype(np.int64), hashes
 
@@ -89,15 +91,23 @@ def common_pieces(docs: DataFrame) -> np.ndarray:
     return np.sort(np.fromiter((r.piece for r in rows), dtype=np.int64).view(np.uint64))
 
 
+#: Columns of a blob: key, mark, begin, and length or stop.
+COLUMNS = ("<i8", "<i4", "<i4", "<i4")
+
+
 def _blob(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
     head = np.array([len(arrays[0])], dtype="<i8").tobytes()
-    return zstandard.compress(head + b"".join(a.astype("<i8").tobytes() for a in arrays) + tail, 3)
+    return zstandard.compress(head + b"".join(a.astype(k).tobytes() for a, k in zip(arrays, COLUMNS, strict=True)) + tail, LEVEL)
 
 
-def _open(blob: bytes, n: int) -> tuple[list[np.ndarray], bytes]:
+def _open(blob: bytes) -> tuple[list[np.ndarray], bytes]:
     raw = zstandard.decompress(blob)
-    size = int(np.frombuffer(raw, "<i8", 1)[0])
-    return [np.frombuffer(raw, "<i8", size, 8 + 8 * size * i) for i in range(n)], raw[8 + 8 * size * n :]
+    size, at, out = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
+    for kind in COLUMNS:
+        part = np.frombuffer(raw, kind, size, at)
+        at += part.nbytes
+        out.append(part.astype(np.int64))
+    return out, raw[at:]
 
 
 def _runs(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +168,7 @@ def _send(common: np.ndarray, buckets: int):
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 part = order[bounds[b] : bounds[b + 1]]
                 columns = key[of[part]], mark[of[part]], begin[part] - ends[of[part]], stop[part] - begin[part]
-                yield _row(b, False, _blob(*columns, tail=b"\n".join([strings[i] for i in part.tolist()])))
+                yield _row(b, False, _blob(*columns, tail=b" ".join([strings[i] for i in part.tolist()])))
 
     return run
 
@@ -172,7 +182,7 @@ def _row(bucket: int, settled: bool, blob: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([settled]), pa.array([blob], pa.binary())], ["bucket", "settled", "blob"])
 
 
-def count_windows(key: np.ndarray, length: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def count_windows(key: np.ndarray, length: np.ndarray, words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Super-k-mers of one bucket -> (super-k-mer, offset) of the windows that also start in one with a smaller key.
 
     length: words of each super-k-mer; words: all of them, one super-k-mer after the other.
@@ -227,9 +237,9 @@ def _found(key: np.ndarray, mark: np.ndarray, begin: np.ndarray, stop: np.ndarra
 
 
 def _count(blobs: list[bytes]) -> pa.RecordBatch:
-    opened = [_open(b, 4) for b in blobs]
+    opened = [_open(b) for b in blobs]
     key, mark, begin, length = (np.concatenate([o[0][i] for o in opened]) for i in range(4))
-    words = b"\n".join(o[1] for o in opened).split()
+    words = pc.split_pattern(pa.array([b" ".join(o[1] for o in opened)], pa.large_binary()), " ").flatten()
     which, offset = count_windows(key, length, words)
     first, count = _runs(which, offset)
     which, offset = which[first], offset[first]
@@ -242,7 +252,7 @@ def _receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b, settled, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "settled", "blob")), strict=True):
             if settled:
-                yield _found(*_open(blob, 4)[0])
+                yield _found(*_open(blob)[0])
                 continue
             if b != bucket and blobs:
                 yield _count(blobs)
@@ -261,9 +271,18 @@ def keep_mask(n: int, intervals: list | None) -> np.ndarray:
     return np.cumsum(change)[:n] == 0
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the shuffle to their intervals."""
+    small = zstandard.ZstdCompressor(level=3)
+    for batch in pieces(batches):
+        packed = pa.array([None if t is None else small.compress(t) for t in texts(batch.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("mark"), packed], ["doc_id", "key", "mark", "packed"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    large = zstandard.ZstdDecompressor()
     for batch in batches:
-        split = [t.split() if t else [] for t in texts(batch.column("text"))]
+        split = [large.decompress(t).split() if t else [] for t in batch.column("packed").to_pylist()]
         removed, kept = [], []
         for words, intervals in zip(split, batch.column("gone").to_pylist(), strict=True):
             mask = keep_mask(len(words), intervals)
@@ -278,18 +297,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     kept: the words left, joined by one space. A null text has no words. A null id is larger than any other and equal
     to itself; rows that share an id are one document as far as "smaller" goes, so repeated rows do not remove each
-    other's words. A window that a document repeats is not removed for that. Texts of fewer than 13 words stay whole.
+    other's words (different texts with one id are told apart by a 32-bit hash of the text). A window that a document repeats is not removed for that. Texts of fewer than 13 words stay whole.
     Extra columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     body = id_and_text(docs)
-    keyed = body.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"), "text")
+    keyed = body.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.hash("text").cast("long").alias("mark"), "text")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = keyed.select("key", "mark", "text").mapInArrow(_send(common_pieces(body), partitions * BUCKETS), "bucket int, settled boolean, blob binary")
     found = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_receive, FOUND)
     gone = found.groupBy("key", "mark").agg(F.collect_list(F.struct("begin", "stop")).alias("gone"))
-    return keyed.join(gone, ["key", "mark"], "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
+    packed = keyed.mapInArrow(_pack, "doc_id long, key long, mark long, packed binary")
+    return packed.join(gone, ["key", "mark"], "left").select("doc_id", "packed", "gone").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(docs: DataFrame) -> DataFrame:
