@@ -4,8 +4,9 @@ Words become symbols: insult, threat, target (who is addressed), negation, repor
 a clause). Four small transducers read them - one tracks a target, one a negation that is still in force, one reported
 speech, one what hostile symbols came before - and their composition is one table: state x symbol -> state, weight. A
 clause's score is the weight it collects, so "you are no idiot" and 'he said "idiot"' weigh less than "you idiot", and
-an insult alone something in between. A document's clause scores are summed with diminishing returns and a logistic curve turns
-the sum into the score.
+an insult alone something in between. A target counts on either side: what was hostile before it is held until the clause
+ends and gets its weight when a target follows ("I will kill you", "idiot, you"). A document's clause scores are summed
+with diminishing returns and a logistic curve turns the sum into the score.
 
 Insults differ by language and time, so that lexicon is learned: whole words and word beginnings that distinct
 toxic documents share and others lack. The closed classes (targets, negations, reporting verbs, threats) are fixed.
@@ -40,7 +41,7 @@ LEAST_DOCS, LEAST_SHARE, PRECISION = 5, 0.006, 0.9
 DOUBT = 4
 
 # Closed word classes in English, French, German and Spanish.
-TARGETS = frozenset("you your yours he she they him her them this these tu te toi vous votre il elle ils du dich dir ihr euch er sie tú vosotros usted ustedes él ella ellos".split())
+TARGETS = frozenset("you your yours he she they him her them this these yourself yourselves himself herself themselves tu te toi vous votre il elle ils du dich dir ihr euch er sie tú vosotros usted ustedes él ella ellos".split())
 NEGATIONS = frozenset("not no never nor without isn't aren't don't ne pas jamais sans nicht kein keine keinen nie ohne nunca jamás sin tampoco".split())
 REPORTS = frozenset("said says claimed called wrote reported quoted alleged dit disait appelé écrit sagte sagt nannte schrieb dijo decía llamó escribió".split())
 THREATS = frozenset("kill killing murder destroy hurt tuer détruire töten vernichten matar destruir".split())
@@ -49,6 +50,8 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, BREAK = range(8)
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”«»]|[.!?;:\n]")
 #: Words that a negation reaches.
 REACH = 3
+#: Factor of what is hostile in a clause with a target.
+TARGETED = 1.6
 
 
 @dataclass(frozen=True)
@@ -63,7 +66,7 @@ def _target() -> Transducer:
     """0: no target in this clause yet, 1: there is one."""
     step = {}
     for s, x in product(range(2), range(8)):
-        step[s, x] = (0 if x == BREAK else 1 if x == TARGET else s), (1.6 if s else 1.0)
+        step[s, x] = (0 if x == BREAK else 1 if x == TARGET else s), (TARGETED if s else 1.0)
     return Transducer(2, step)
 
 
@@ -133,7 +136,7 @@ class Grammar:
         weight = {w: x for w in set(tokens) if (x := self.insult(w))}
         if not weight and THREATS.isdisjoint(tokens):
             return []
-        state, total, out = 0, 0.0, []
+        state, total, held, out = 0, 0.0, 0.0, []
         for t in tokens:
             if t in weight:
                 symbol, w = INSULT, weight[t]
@@ -141,12 +144,21 @@ class Grammar:
                 symbol, w = (QUOTE if t in "\"“”«»" else BREAK), 0.0
             else:
                 symbol = CLOSED.get(t, OTHER)
-                w = THREAT_WEIGHT * (state >= len(NEXT) // 2) if symbol == THREAT else 0.0
-            total += w * FACTOR[state][symbol]
+                w = THREAT_WEIGHT if symbol == THREAT else 0.0
+            w *= FACTOR[state][symbol]
+            if state < len(NEXT) // 2:  # no target yet
+                if symbol == TARGET:
+                    total, held = total + held, 0.0
+                elif symbol == INSULT:
+                    held += (TARGETED - 1) * w
+                elif symbol == THREAT:
+                    held, w = held + TARGETED * w, 0.0
+            total += w
             state = NEXT[state][symbol]
-            if symbol == BREAK and total:
-                out.append(total)
-                total = 0.0
+            if symbol == BREAK:
+                if total:
+                    out.append(total)
+                total = held = 0.0
         return out + [total] if total else out
 
     def score(self, text: str | None) -> float:

@@ -147,3 +147,13 @@ def test_clauses_weigh_by_context():
     assert score("an idiot") > score('it read "an idiot"') > 0 and score("he said idiot") < score("he is idiot")
     assert score("idiot scum") > score("idiot. fine. scum") > score("idiot") and score("loweichen") == pytest.approx(0.9)
     assert score("you kill") > score("kill") == 0 or score("you kill") > 0
+
+
+def test_targets_count_after_threats_and_insults():
+    g = toxicity.Grammar({"idiot": 1.0}, {})
+    score = lambda t: toxicity.raw_score(g, t)
+    assert score("I will kill you") == pytest.approx(score("you kill")) and score("kill yourself") > 0 and score("destroy them all") > 0
+    assert score("I will kill you") > score("I will not kill you") > 0 and score("kill it. you") == score("kill the process") == 0
+    assert score("idiot, you") == pytest.approx(score("you idiot")) and score("idiot. you") == score("idiot")
+    assert score("kill you and you") == pytest.approx(score("kill you"))
+    assert g.score("I will kill you") > g.score("a clean text")
