@@ -159,13 +159,9 @@ def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.union(stars)
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): the components of documents linked at 2 or fewer differing bits.
-
-    component_id is the smallest doc_id reachable. Rows come back as often as they go in; equal fingerprints always
-    link, those of texts without words (null, empty, blank) too. A null doc_id is kept and never the smallest unless
-    the component has no other. An empty table gives an empty result.
-    """
+def _members(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, root, component_id), one row per input row; root is a fingerprint and tells components apart whose
+    smallest doc_id is the same."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(fingerprints(docs), "prints")
     distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
@@ -173,27 +169,54 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     scratch.drop("met")  # the components are checkpointed
     member = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     first = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = member.join(first, "root").select("fp", "component_id")
-    return prints.join(component, "fp").select("doc_id", "fp", "component_id")
+    component = member.join(first, "root").select("fp", "root", "component_id")
+    return prints.join(component, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def simhash_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id): the components of documents linked at 2 or fewer differing bits.
+
+    component_id is the smallest doc_id reachable. Rows come back as often as they go in; equal fingerprints always
+    link, those of texts without words (null, empty, blank) too. A null doc_id is kept and never the smallest unless
+    the component has no other. An empty table gives an empty result.
+    """
+    return _members(docs).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents, with one of each component kept: the one with the smallest doc_id.
 
-    Columns stay as they are. Repeated rows with that id count once: of rows that share the id, the one with the
-    smallest text (null last) stays. Where a component has no id at all, each fingerprint in it keeps its smallest text.
+    Columns stay as they are. Repeated rows with that id count once: of a component's rows that share the id, the one
+    with the smallest text (null last) stays. Rows of one id with texts of several components are each their own
+    component's. Where a component has no id at all, each fingerprint in it keeps its smallest text.
     """
     names = docs.columns
-    found = simhash_components(docs)
+    found = _members(docs)
     kept = found.where("component_id IS NOT NULL").select(F.col("component_id").alias("__keep")).distinct()
     with_id = docs.join(kept, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi")
     whole = F.struct(F.col("text").isNull().alias("no"), "text", *[n for n in names if n not in ("doc_id", "text")])
-    one = with_id.groupBy("doc_id").agg(F.min(whole).alias("__row"))
-    one = one.select(*[F.col("doc_id") if n == "doc_id" else F.col(f"__row.`{n}`").alias(n) for n in names])
+
+    def first(rows: DataFrame, *keys: str) -> DataFrame:
+        least = rows.groupBy(*keys).agg(F.min(whole).alias("__row"))
+        return least.select(*[F.col("doc_id") if n == "doc_id" else F.col(f"__row.`{n}`").alias(n) for n in names])
+
+    reused = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    reused = reused.where("lo != hi").select(F.col("doc_id").alias("__reused"))
+    if not reused.limit(1).count():
+        one = first(with_id, "doc_id")
+    else:
+        again = F.col("doc_id").cast("long") == F.col("__reused")
+        several = with_id.join(reused, again, "left_semi")
+        prints = id_and_text(several).mapInArrow(_texts_with_prints, "doc_id long, text string, fp long").distinct()
+        own = found.where("doc_id = component_id").select("doc_id", "fp", "root").distinct().join(prints, ["doc_id", "fp"])
+        least = F.min(F.struct(F.col("text").isNull().alias("no"), "text"))["text"]
+        own = own.groupBy("doc_id", "root").agg(least.alias("__text")).select(F.col("doc_id").alias("__id"), "__text")
+        same = (several["doc_id"].cast("long") == own["__id"]) & several["text"].eqNullSafe(own["__text"])
+        one = first(with_id.join(reused, again, "left_anti"), "doc_id").unionByName(first(several.join(own, same, "left_semi"), "doc_id", "text"))
     lone = docs.where("doc_id IS NULL")
     if not lone.limit(1).count():
         return one
-    prints = id_and_text(lone).mapInArrow(_texts_with_prints, "text string, fp long").distinct()
+    prints = id_and_text(lone).mapInArrow(_texts_with_prints, "doc_id long, text string, fp long").select("text", "fp").distinct()
     alone = found.where("component_id IS NULL").select("fp").distinct().join(prints, "fp")
     keep = alone.groupBy("fp").agg(F.min("text").alias("__text"))
     extra = lone.join(keep, lone["text"].eqNullSafe(keep["__text"]), "left_semi").dropDuplicates(["text"])
@@ -203,7 +226,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 def _texts_with_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = np.array([fingerprint(t) for t in texts(batch.column("text"))], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(fps)], ["text", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(fps)], ["doc_id", "text", "fp"])
 
 
 def query(docs: DataFrame) -> DataFrame:

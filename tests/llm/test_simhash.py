@@ -126,3 +126,15 @@ def test_nulls_repeats_empty_and_extra_columns(spark):
     assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(5, "same words here"), (8, "")]
     lone = spark.createDataFrame([(None, "only without id"), (None, "only without id"), (1, "b c d")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.text) for r in drop_near_duplicates(lone).collect()) == [(-1, "only without id"), (1, "b c d")]
+
+
+def test_each_component_keeps_one_where_ids_are_reused(spark):
+    def kept(*rows):
+        df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int")
+        got = drop_near_duplicates(df)
+        assert got.columns == df.columns
+        return sorted((r.doc_id or -1, r.text or "") for r in got.collect())
+
+    assert kept((3, "b"), (5, "z"), (5, "b")) == [(3, "b"), (5, "z")]
+    assert kept((5, "b"), (5, "z"), (5, "z"), (5, "Z"), (7, "z"), (8, "lone")) == [(5, "Z"), (5, "b"), (8, "lone")]
+    assert kept((5, None), (5, "z"), (6, ""), (4, "z"), (None, "z"), (None, "no id")) == [(-1, "no id"), (4, "z"), (5, "")]
