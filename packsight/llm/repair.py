@@ -1,9 +1,11 @@
 """Re-Pair grammar compression of integer sequences, in numpy.
 
 Pairs of neighbouring symbols that are frequent are replaced by new symbols (nonterminals), round after round, until no
-pair is frequent or the symbols are used up. A shard's blob holds the rules, how many ids each nonterminal expands to,
-the remaining symbols and, for every ``STRIDE``-th symbol, its place in the expanded sequence, so that one document can
-be decoded without the others.
+pair is frequent or the symbols are used up. Counts are exact: bins of hashed pairs only tell which cannot be frequent,
+the others are sorted and counted. A pair that overlaps more frequent ones wherever it occurs waits for a later round.
+
+A shard's blob holds the rules, how many ids each nonterminal expands to, the remaining symbols and, for every
+``STRIDE``-th symbol, its place in the expanded sequence, so that one document can be decoded without the others.
 
 Layout, little-endian: magic ``RPR1``, crc32 of all that follows (uint32), then a header of seven int64 (documents,
 ids, symbols, rules, first nonterminal, bytes per symbol, stride) and the arrays doc_ids int64, doc_null uint8,
@@ -20,14 +22,13 @@ import numpy as np
 
 MAGIC = b"RPR1"
 STRIDE = 1024
-ROUNDS = 10
 #: A pair must occur this often in its shard to be worth a rule.
 LEAST = 6
 PER_ROUND = 4096
-#: Bins of the pair count: in a round, a bin counts the one pair that it saw last.
-BINS_LOG2 = 18
-#: Odd multipliers for hashing pairs into bins, one after the other.
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Bins that rule out pairs before they are counted: none in a bin of fewer than ``LEAST`` is frequent.
+BINS_LOG2 = 20
+#: An odd multiplier for hashing pairs into bins.
+MULTIPLIER = 0x9E3779B97F4A7C15
 
 
 @dataclass
@@ -57,31 +58,33 @@ def compress(ids: np.ndarray, first: int) -> Grammar:
     room = ((1 << 16) if first < 1 << 16 else (1 << 31)) - first
     left, right = [], []
     made = 0
-    for r in range(ROUNDS):
-        if len(seq) < 2 or made >= room:
-            break
+    while len(seq) > 1 and made < room:
         key = seq[:-1] << 32 | seq[1:]
-        bin_ = (key.view(np.uint64) * np.uint64(MULTIPLIERS[r % len(MULTIPLIERS)]) >> np.uint64(64 - BINS_LOG2)).astype(np.int64)
-        shown = np.full(1 << BINS_LOG2, -1, dtype=np.int64)
-        shown[bin_] = key
-        same = shown[bin_] == key
-        count = np.bincount(bin_[same], minlength=1 << BINS_LOG2)
-        chosen = np.flatnonzero(count >= LEAST)
-        if not len(chosen):
+        bin_ = (key.view(np.uint64) * np.uint64(MULTIPLIER) >> np.uint64(64 - BINS_LOG2)).astype(np.int64)
+        may = np.flatnonzero((np.bincount(bin_, minlength=1 << BINS_LOG2) >= LEAST)[bin_])
+        pair, count = np.unique(key[may], return_counts=True)
+        pair, count = pair[count >= LEAST], count[count >= LEAST]
+        if not len(pair):
             break
-        chosen = chosen[np.lexsort((shown[chosen], -count[chosen]))][: min(PER_ROUND, room - made)]
-        symbol = np.full(1 << BINS_LOG2, -1, dtype=np.int64)
-        symbol[chosen] = first + made + np.arange(len(chosen))
-        new = np.where(same, symbol[bin_], -1)
-        at = np.flatnonzero(new >= 0)
-        # of overlapping pairs, every second one of a run of neighbours is replaced
+        best = np.lexsort((pair.view(np.uint64) * np.uint64(MULTIPLIER), -count))[: min(PER_ROUND, room - made)]
+        rank = np.argsort(pair[best])
+        pair = pair[best][rank]
+        near = np.minimum(np.searchsorted(pair, key[may]), len(pair) - 1)
+        found = pair[near] == key[may]
+        at, rule = may[found], near[found]
+        # of overlapping pairs the more frequent one is replaced, the same wherever they meet; of one pair's run every second
+        place = np.full(len(key) + 2, len(pair))
+        place[at + 1] = rank[rule]
+        first_of = (place[at + 1] <= place[at]) & (place[at + 1] <= place[at + 2])
+        at, rule = at[first_of], rule[first_of]
         begins = np.concatenate(([True], np.diff(at) > 1))
         since = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        at = at[since % 2 == 0]
-        left.append(shown[chosen] >> 32)
-        right.append(shown[chosen] & 0xFFFFFFFF)
-        made += len(chosen)
-        seq[at] = new[at]
+        at, rule = at[since % 2 == 0], rule[since % 2 == 0]
+        used, rule = np.unique(rule, return_inverse=True)
+        left.append(pair[used] >> 32)
+        right.append(pair[used] & 0xFFFFFFFF)
+        seq[at] = first + made + rule
+        made += len(used)
         kept = np.ones(len(seq), dtype=bool)
         kept[at + 1] = False
         seq = seq[kept]

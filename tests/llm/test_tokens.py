@@ -79,6 +79,15 @@ def test_rules_only_name_earlier_symbols_and_long_runs_pair_up():
     assert (grammar.left < number).all() and (grammar.right < number).all() and len(grammar.symbols) < 40
 
 
+@pytest.mark.parametrize("length", [3000, 3001])
+def test_no_frequent_pair_is_left_in_long_repeats(length):
+    passage = np.random.default_rng(1).permutation(5000)[:length]
+    grammar = compress(np.tile(passage, 400), 5000)
+    _, counts = np.unique(grammar.symbols[:-1] << 32 | grammar.symbols[1:], return_counts=True)
+    assert counts.max(initial=0) < repair.LEAST and grammar.expansion().max() > 1 << 10
+    assert (expand(grammar.symbols, 5000, grammar.left, grammar.right, grammar.expansion()) == np.tile(passage, 400)).all()
+
+
 def test_damaged_shards_are_refused():
     blob = bytearray(pack([1], [np.arange(50)], 100))
     blob[-1] ^= 1
