@@ -5,7 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,9 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches again, none with more than about ``limit`` bytes of text (a longer text goes alone)."""
+def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = CHUNK_BYTES, keep: tuple | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches again, none with more than about ``limit`` bytes of text (a longer text goes alone). keep: what the slot
+    of ``held`` may go on holding when the batches end."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -50,11 +52,24 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = C
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-    trim()
+    trim(keep)
 
 
-def trim() -> None:
+_slot: dict = {}
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """What one stage keeps in a worker from task to task. There is one slot: another stage's end empties it."""
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = make()
+    return _slot[key]
+
+
+def trim(keep: tuple | None = None) -> None:
     """Give back what the stage has freed: Python workers live on, and idle ones would keep it from others."""
+    if keep not in _slot:
+        _slot.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # a C library without it

@@ -1,8 +1,8 @@
 """Re-Pair grammar compression of integer sequences, in numpy.
 
 Pairs of neighbouring symbols that are frequent are replaced by new symbols (nonterminals), round after round, until no
-pair is frequent or the symbols are used up. Counts are exact: bins of hashed pairs only tell which cannot be frequent,
-the others are sorted and counted. A pair that overlaps more frequent ones wherever it occurs waits for a later round.
+pair is frequent or the symbols are used up. Counts are exact: every round sorts the pairs. One that overlaps more
+frequent ones wherever it occurs waits for a later round.
 
 A shard's blob holds the rules, how many ids each nonterminal expands to, the remaining symbols and, for every
 ``STRIDE``-th symbol, its place in the expanded sequence, so that one document can be decoded without the others.
@@ -24,10 +24,10 @@ MAGIC = b"RPR1"
 STRIDE = 1024
 #: A pair must occur this often in its shard to be worth a rule.
 LEAST = 6
-PER_ROUND = 4096
-#: Bins that rule out pairs before they are counted: none in a bin of fewer than ``LEAST`` is frequent.
-BINS_LOG2 = 20
-#: An odd multiplier for hashing pairs into bins.
+PER_ROUND = 8192
+#: Slots of the table that tells a round's pairs; of pairs that share a slot the most frequent is taken, others wait.
+SLOTS_LOG2 = 18
+#: An odd multiplier for hashing pairs into slots.
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -52,44 +52,69 @@ class Grammar:
         return size
 
 
+def frequent(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that occur ``LEAST`` times or more, and how often."""
+    if len(key) < LEAST:
+        return key[:0], np.zeros(0, dtype=np.int64)
+    row = np.sort(key)
+    often = row[: len(row) - LEAST + 1] == row[LEAST - 1 :]
+    often[1:] &= row[1 : len(often)] != row[: len(often) - 1]
+    first = np.flatnonzero(often)
+    pair = row[first]
+    return pair, np.searchsorted(row, pair, side="right") - first
+
+
+def _slot(pair: np.ndarray) -> np.ndarray:
+    bits = 8 * pair.itemsize
+    return (pair * pair.dtype.type(MULTIPLIER & (1 << bits) - 1) >> pair.dtype.type(bits - SLOTS_LOG2)).astype(np.int32)
+
+
 def compress(ids: np.ndarray, first: int) -> Grammar:
-    """ids: int64 below ``first``, the first nonterminal. New symbols stay below 2^16 where ``first`` does."""
-    seq = ids.astype(np.int64)
-    room = ((1 << 16) if first < 1 << 16 else (1 << 31)) - first
+    """ids: below ``first``, the first nonterminal. New symbols stay below 2^16 where ``first`` does."""
+    narrow = first < 1 << 16
+    symbol, wide, shift = (np.uint16, np.uint32, 16) if narrow else (np.uint32, np.uint64, 32)
+    room = ((1 << 16) if narrow else (1 << 31)) - first
+    seq = ids.astype(symbol)
     left, right = [], []
     made = 0
     while len(seq) > 1 and made < room:
-        key = seq[:-1] << 32 | seq[1:]
-        bin_ = (key.view(np.uint64) * np.uint64(MULTIPLIER) >> np.uint64(64 - BINS_LOG2)).astype(np.int64)
-        may = np.flatnonzero((np.bincount(bin_, minlength=1 << BINS_LOG2) >= LEAST)[bin_])
-        pair, count = np.unique(key[may], return_counts=True)
-        pair, count = pair[count >= LEAST], count[count >= LEAST]
+        key = seq[:-1].astype(wide) << wide(shift) | seq[1:]
+        pair, count = frequent(key)
         if not len(pair):
             break
-        best = np.lexsort((pair.view(np.uint64) * np.uint64(MULTIPLIER), -count))[: min(PER_ROUND, room - made)]
-        rank = np.argsort(pair[best])
-        pair = pair[best][rank]
-        near = np.minimum(np.searchsorted(pair, key[may]), len(pair) - 1)
-        found = pair[near] == key[may]
-        at, rule = may[found], near[found]
+        best = np.lexsort((_slot(pair), -count))[: min(PER_ROUND, room - made)]
+        _, own = np.unique(_slot(pair[best]), return_index=True)
+        pair = pair[best[np.sort(own)]]
+        slot = _slot(pair)
+        number, held = np.full(1 << SLOTS_LOG2, len(pair), dtype=np.uint16), np.zeros(1 << SLOTS_LOG2, dtype=wide)
+        number[slot], held[slot] = np.arange(len(pair)), pair
+        slot = _slot(key)
+        rank = number[slot]
+        rank[held[slot] != key] = len(pair)
         # of overlapping pairs the more frequent one is replaced, the same wherever they meet; of one pair's run every second
-        place = np.full(len(key) + 2, len(pair))
-        place[at + 1] = rank[rule]
-        first_of = (place[at + 1] <= place[at]) & (place[at + 1] <= place[at + 2])
-        at, rule = at[first_of], rule[first_of]
+        chosen = rank < len(pair)
+        chosen[1:] &= rank[1:] <= rank[:-1]
+        chosen[:-1] &= rank[:-1] <= rank[1:]
+        at = np.flatnonzero(chosen)
         begins = np.concatenate(([True], np.diff(at) > 1))
         since = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        at, rule = at[since % 2 == 0], rule[since % 2 == 0]
-        used, rule = np.unique(rule, return_inverse=True)
-        left.append(pair[used] >> 32)
-        right.append(pair[used] & 0xFFFFFFFF)
-        seq[at] = first + made + rule
+        at = at[since % 2 == 0]
+        rule = rank[at]
+        worth = np.bincount(rule, minlength=len(pair)) >= LEAST // 2
+        used = np.flatnonzero(worth)
+        at = at[worth[rule]]
+        rule = rank[at]
+        to = np.zeros(len(pair), dtype=symbol)
+        to[used] = first + made + np.arange(len(used))
+        left.append((pair[used] >> wide(shift)).astype(np.int64))
+        right.append((pair[used] & wide((1 << shift) - 1)).astype(np.int64))
+        seq[at] = to[rule]
         made += len(used)
         kept = np.ones(len(seq), dtype=bool)
         kept[at + 1] = False
         seq = seq[kept]
     none = np.zeros(0, dtype=np.int64)
-    return Grammar(first, np.concatenate(left) if left else none, np.concatenate(right) if right else none, seq)
+    return Grammar(first, np.concatenate(left) if left else none, np.concatenate(right) if right else none, seq.astype(np.int64))
 
 
 def _open(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
