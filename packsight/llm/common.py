@@ -11,6 +11,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,37 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+_PLAIN = bytes.maketrans(b"\t\n\v\f\r", b" " * 5)
+_LOWER = bytes.maketrans(b"\t\n\v\f\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * 5 + b"abcdefghijklmnopqrstuvwxyz")
+
+
+def word_array(found: list[bytes | None], lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts one after the other - what white space (space, tab to carriage return) parts, with A-Z in lower
+    case if wanted - and how many each text has."""
+    joined = b"\n".join([*[t or b"" for t in found], b""]).translate(_LOWER if lower else _PLAIN)
+    data = np.frombuffer(joined, dtype=np.uint8)
+    space = data == 0x20
+    fresh = ~space
+    fresh[1:] &= space[:-1]
+    starts = np.flatnonzero(fresh)
+    values = data[~space]
+    offsets = np.append(starts - np.cumsum(space, dtype=np.int64)[starts], len(values)).astype(np.int64)
+    stops = np.cumsum(np.fromiter((len(t or b"") + 1 for t in found), dtype=np.int64, count=len(found))) - 1
+    count = np.diff(np.searchsorted(starts, stops), prepend=0)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)]), count
+
+
+def hashes(distinct: pa.Array) -> np.ndarray:
+    """64-bit hashes of byte strings."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(distinct))
+
+
+def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (count[0] of them), begin[1], ..."""
+    upto = np.cumsum(count, dtype=np.int64)
+    return np.repeat(begin - (upto - count), count) + np.arange(int(upto[-1]) if len(upto) else 0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = CHUNK_BYTES, keep: tuple | None = None) -> Iterator[pa.RecordBatch]:
     """Batches again, none with more than about ``limit`` bytes of text (a longer text goes alone). keep: what the slot
     of ``held`` may go on holding when the batches end."""
