@@ -8,7 +8,10 @@ compares the words of those that meet. What a bucket finds goes back as word int
 Against hot buckets: pieces that very many documents share (counted over all documents first) rank behind all others as
 minimisers, so windows that only touch a common passage go where their own words send them, and windows wholly inside
 it form equal strings, of which each map step ships those of its smallest document alone - the others are settled on
-the spot.
+the spot. A map task also remembers such strings (``SEEN`` of them) from one step to the next.
+
+Rows that share an id are told apart by a mark, a hash of their text: 32 bits where a count over all rows shows that these
+tell all texts of each id apart, else 128.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packsight.llm.common import id_and_text, pieces, texts
+from packsight.llm.common import id_and_text, pieces, texts, trim
 from packsight.session import Scratch, ship
 
 WINDOW, PIECE = 13, 3
@@ -36,9 +39,11 @@ COMMON_LEAST = 64
 BUCKETS = 4
 #: Compression of what is shuffled.
 LEVEL = 6
+#: Strings of common passages that a map task remembers; more are shipped as they come.
+SEEN = 100_000
 #: Stands for a null id: larger than any other.
 LAST = (1 << 63) - 1
-FOUND = "key long, mark long, begin int, stop int"
+FOUND = "key long, mark long, mark2 long, begin int, stop int"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,19 +96,19 @@ def common_pieces(docs: DataFrame) -> np.ndarray:
     return np.sort(np.fromiter((r.piece for r in rows), dtype=np.int64).view(np.uint64))
 
 
-#: Columns of a blob: key, mark, begin, and length or stop.
-COLUMNS = ("<i8", "<i4", "<i4", "<i4")
+#: Columns of a blob: key, mark and its second half, begin, and length or stop; with marks of 32 bits, and of 128.
+COLUMNS = {False: ("<i8", "<i4", "<i1", "<i4", "<i4"), True: ("<i8", "<i8", "<i8", "<i4", "<i4")}
 
 
-def _blob(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
+def _blob(wide: bool, *arrays: np.ndarray, tail: bytes = b"") -> bytes:
     head = np.array([len(arrays[0])], dtype="<i8").tobytes()
-    return zstandard.compress(head + b"".join(a.astype(k).tobytes() for a, k in zip(arrays, COLUMNS, strict=True)) + tail, LEVEL)
+    return zstandard.compress(head + b"".join(a.astype(k).tobytes() for a, k in zip(arrays, COLUMNS[wide], strict=True)) + tail, LEVEL)
 
 
-def _open(blob: bytes) -> tuple[list[np.ndarray], bytes]:
+def _open(wide: bool, blob: bytes) -> tuple[list[np.ndarray], bytes]:
     raw = zstandard.decompress(blob)
     size, at, out = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
-    for kind in COLUMNS:
+    for kind in COLUMNS[wide]:
         part = np.frombuffer(raw, kind, size, at)
         at += part.nbytes
         out.append(part.astype(np.int64))
@@ -118,11 +123,12 @@ def _runs(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.diff(np.append(begins, len(at)))
 
 
-def _send(common: np.ndarray, buckets: int):
+def _send(common: np.ndarray, buckets: int, wide: bool):
     """Documents -> (bucket, settled, blob): super-k-mers for the buckets, and intervals that are settled already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
+        seen: dict[bytes, int] = {}
         for batch in pieces(batches):
             split, ends = _words(batch)
             flat = _flat(split)
@@ -149,26 +155,32 @@ def _send(common: np.ndarray, buckets: int):
             upto = np.cumsum(np.fromiter(map(len, flat), dtype=np.int64, count=len(flat)) + 1)
             left, right = (upto[begin] - np.fromiter((len(flat[i]) for i in begin.tolist()), dtype=np.int64, count=len(begin)) - 1).tolist(), (upto[stop - 1] - 1).tolist()
             strings = [joined[a:b] for a, b in zip(left, right, strict=True)]
-            key, mark = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("key", "mark"))
+            key, mark, mark2 = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("key", "mark", "mark2"))
             of = doc[begin]
             same = pa.array(strings, pa.large_binary()).dictionary_encode().indices.to_numpy()
             least = np.full(int(same.max()) + 1, LAST, dtype=np.int64)
             np.minimum.at(least, same, key[of])
             mine = key[of] == least[same]
+            for i in np.flatnonzero(mine & (low[begin] >> np.uint64(63) == 1)).tolist():
+                own, before = int(key[of[i]]), seen.get(strings[i])
+                if before is not None and before < own:
+                    mine[i] = False
+                elif before is not None or len(seen) < SEEN:
+                    seen[strings[i]] = own
             settled = np.flatnonzero(~mine)
             if len(settled):
                 turn += 1
                 base = ends[of[settled]]
-                columns = key[of[settled]], mark[of[settled]], begin[settled] - base, stop[settled] - base
-                yield _row((turn * 7919 + len(settled)) % buckets, True, _blob(*columns))
+                columns = key[of[settled]], mark[of[settled]], mark2[of[settled]], begin[settled] - base, stop[settled] - base
+                yield _row((turn * 7919 + len(settled)) % buckets, True, _blob(wide, *columns))
             ship_ = np.flatnonzero(mine)
             goes = (low[begin[ship_]] % np.uint64(buckets)).astype(np.int64)
             order = ship_[np.argsort(goes, kind="stable")]
             bounds = np.concatenate(([0], np.cumsum(np.bincount(goes, minlength=buckets))))
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 part = order[bounds[b] : bounds[b + 1]]
-                columns = key[of[part]], mark[of[part]], begin[part] - ends[of[part]], stop[part] - begin[part]
-                yield _row(b, False, _blob(*columns, tail=b" ".join([strings[i] for i in part.tolist()])))
+                columns = key[of[part]], mark[of[part]], mark2[of[part]], begin[part] - ends[of[part]], stop[part] - begin[part]
+                yield _row(b, False, _blob(wide, *columns, tail=b" ".join([strings[i] for i in part.tolist()])))
 
     return run
 
@@ -221,46 +233,50 @@ def count_windows(key: np.ndarray, length: np.ndarray, words: list[bytes] | pa.A
     return of[hit], start[hit] - (ends - length)[of[hit]]
 
 
-def _found(key: np.ndarray, mark: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+def _found(key: np.ndarray, mark: np.ndarray, mark2: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
     """Intervals, those of a document merged where they touch."""
-    order = np.lexsort((begin, mark, key))
-    key, mark, begin, stop = key[order], mark[order], begin[order], stop[order]
-    reach = stop.copy()
-    group = np.concatenate(([True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]))).cumsum() if len(key) else np.zeros(0, dtype=np.int64)
-    lift = group * (1 << 32)
-    reach = np.maximum.accumulate(reach + lift) - lift if len(key) else reach
-    fresh = np.concatenate(([True], (group[1:] != group[:-1]) | (begin[1:] > reach[:-1]))) if len(key) else np.zeros(0, dtype=bool)
+    order = np.lexsort((begin, mark2, mark, key))
+    key, mark, mark2, begin, stop = (x[order] for x in (key, mark, mark2, begin, stop))
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (mark2[1:] != mark2[:-1])))[: len(key)]
+    lift = new.cumsum() * (1 << 32)
+    reach = np.maximum.accumulate(stop + lift) - lift
+    fresh = new.copy()
+    fresh[1:] |= begin[1:] > reach[:-1]
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(key)) - 1
-    columns = [pa.array(key[first]), pa.array(mark[first]), pa.array(begin[first].astype(np.int32)), pa.array(reach[last].astype(np.int32) if len(first) else np.zeros(0, np.int32))]
-    return pa.RecordBatch.from_arrays(columns, ["key", "mark", "begin", "stop"])
+    columns = key[first], mark[first], mark2[first], begin[first].astype(np.int32), (reach[last] if len(first) else reach).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in FOUND.split(", ")])
 
 
-def _count(blobs: list[bytes]) -> pa.RecordBatch:
-    opened = [_open(b) for b in blobs]
-    key, mark, begin, length = (np.concatenate([o[0][i] for o in opened]) for i in range(4))
+def _count(wide: bool, blobs: list[bytes]) -> pa.RecordBatch:
+    opened = [_open(wide, b) for b in blobs]
+    key, mark, mark2, begin, length = (np.concatenate([o[0][i] for o in opened]) for i in range(5))
     words = pc.split_pattern(pa.array([b" ".join(o[1] for o in opened)], pa.large_binary()), " ").flatten()
     which, offset = count_windows(key, length, words)
     first, count = _runs(which, offset)
     which, offset = which[first], offset[first]
-    return _found(key[which], mark[which], begin[which] + offset, begin[which] + offset + count + WINDOW - 1)
+    return _found(key[which], mark[which], mark2[which], begin[which] + offset, begin[which] + offset + count + WINDOW - 1)
 
 
-def _receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs sorted by bucket -> the intervals that are to go. One bucket is held at a time."""
-    bucket, blobs = None, []
-    for batch in batches:
-        for b, settled, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "settled", "blob")), strict=True):
-            if settled:
-                yield _found(*_open(blob)[0])
-                continue
-            if b != bucket and blobs:
-                yield _count(blobs)
-                blobs = []
-            bucket = b
-            blobs.append(blob)
-    if blobs:
-        yield _count(blobs)
+def _receive(wide: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blobs sorted by bucket -> the intervals that are to go. One bucket is held at a time."""
+        bucket, blobs = None, []
+        for batch in batches:
+            for b, settled, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "settled", "blob")), strict=True):
+                if settled:
+                    yield _found(*_open(wide, blob)[0])
+                    continue
+                if b != bucket and blobs:
+                    yield _count(wide, blobs)
+                    blobs = []
+                bucket = b
+                blobs.append(blob)
+        if blobs:
+            yield _count(wide, blobs)
+        trim()
+
+    return run
 
 
 def keep_mask(n: int, intervals: list | None) -> np.ndarray:
@@ -276,7 +292,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     small = zstandard.ZstdCompressor(level=3)
     for batch in pieces(batches):
         packed = pa.array([None if t is None else small.compress(t) for t in texts(batch.column("text"))], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("mark"), packed], ["doc_id", "key", "mark", "packed"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "mark", "mark2")), packed], ["doc_id", "key", "mark", "mark2", "packed"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,19 +313,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     kept: the words left, joined by one space. A null text has no words. A null id is larger than any other and equal
     to itself; rows that share an id are one document as far as "smaller" goes, so repeated rows do not remove each
-    other's words (different texts with one id are told apart by a 32-bit hash of the text). A window that a document repeats is not removed for that. Texts of fewer than 13 words stay whole.
+    other's words. A window that a document repeats is not removed for that. Texts of fewer than 13 words stay whole.
     Extra columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     body = id_and_text(docs)
-    keyed = body.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.hash("text").cast("long").alias("mark"), "text")
+    key, mark, other = F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.hash("text").cast("long").alias("mark"), F.xxhash64("text")
+    same = body.select(key, mark, other.alias("other")).groupBy("key", "mark").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
+    wide = same.where("lo != hi").limit(1).count() > 0
+    marks = (other.alias("mark"), F.xxhash64(F.lit(1), "text").alias("mark2")) if wide else (mark, F.lit(0).cast("long").alias("mark2"))
+    keyed = body.select("doc_id", key, *marks, "text")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = keyed.select("key", "mark", "text").mapInArrow(_send(common_pieces(body), partitions * BUCKETS), "bucket int, settled boolean, blob binary")
-    found = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_receive, FOUND)
-    gone = found.groupBy("key", "mark").agg(F.collect_list(F.struct("begin", "stop")).alias("gone"))
-    packed = keyed.mapInArrow(_pack, "doc_id long, key long, mark long, packed binary")
-    return packed.join(gone, ["key", "mark"], "left").select("doc_id", "packed", "gone").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
+    sent = keyed.select("key", "mark", "mark2", "text").mapInArrow(_send(common_pieces(body), partitions * BUCKETS, wide), "bucket int, settled boolean, blob binary")
+    found = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_receive(wide), FOUND)
+    gone = found.groupBy("key", "mark", "mark2").agg(F.collect_list(F.struct("begin", "stop")).alias("gone"))
+    packed = keyed.mapInArrow(_pack, "doc_id long, key long, mark long, mark2 long, packed binary")
+    return packed.join(gone, ["key", "mark", "mark2"], "left").select("doc_id", "packed", "gone").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(docs: DataFrame) -> DataFrame:

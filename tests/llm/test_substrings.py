@@ -74,6 +74,24 @@ def test_nulls_repeated_ids_unicode_and_extra_columns(spark):
     assert remove_repeats(df).count() == len(rows) and remove_repeats(df.where("false")).count() == 0
 
 
+def test_texts_of_one_id_whose_32_bit_hashes_are_equal(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    found = spark.range(120_000).select(F.concat(F.lit(f"{passage} x"), F.col("id").cast("string")).alias("a"), F.concat(F.lit("only a few words "), F.col("id").cast("string")).alias("b"))
+    a, b = (found.select(F.col(c).alias("text"), F.hash(c).alias("h")) for c in "ab")
+    twins = a.join(b.withColumnRenamed("text", "other"), "h").limit(2).collect()
+    assert twins
+    for key in (5, None):
+        check(spark, [(1, passage)] + [(key, t) for r in twins for t in (r.text, r.other)])
+
+
+def test_a_task_remembers_common_strings(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "COMMON_LEAST", 4)
+    passage = " ".join(words(60, 500))
+    for order in (1, -1):
+        rows = [(i, f"{' '.join(words(20, 900))} {passage}") for i in range(2500)][::order]
+        check(spark, rows, 1)
+
+
 def test_very_long_text(spark):
     check(spark, [(1, " ".join(words(60_000, 10_000))), (2, " ".join(words(3000, 10_000)))])
 
