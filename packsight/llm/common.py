@@ -47,14 +47,18 @@ def word_array(found: list[bytes | None], lower: bool = False) -> tuple[pa.Array
     """The words of texts one after the other - what white space (space, tab to carriage return) parts, with A-Z in lower
     case if wanted - and how many each text has."""
     joined = b"\n".join([*[t or b"" for t in found], b""]).translate(_LOWER if lower else _PLAIN)
-    data = np.frombuffer(joined, dtype=np.uint8)
+    stops = np.cumsum(np.fromiter((len(t or b"") + 1 for t in found), dtype=np.int64, count=len(found))) - 1
+    return spaced(np.frombuffer(joined, dtype=np.uint8), stops)
+
+
+def spaced(data: np.ndarray, stops: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """What spaces part in the bytes of texts that end at stops, each with a space there, and how many each text has."""
     space = data == 0x20
     fresh = ~space
     fresh[1:] &= space[:-1]
     starts = np.flatnonzero(fresh)
     values = data[~space]
     offsets = np.append(starts - np.cumsum(space, dtype=np.int64)[starts], len(values)).astype(np.int64)
-    stops = np.cumsum(np.fromiter((len(t or b"") + 1 for t in found), dtype=np.int64, count=len(found))) - 1
     count = np.diff(np.searchsorted(starts, stops), prepend=0)
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)]), count
 

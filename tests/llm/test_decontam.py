@@ -2,10 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from packsight.llm import decontam
-from packsight.llm.decontam import Items, align, allowed, contaminated, drop_contaminated, find, hashed, words
+from packsight.llm.decontam import Items, align, allowed, contaminated, drop_contaminated, find, hashed, hashed_words, words
 
 rng = random.Random(5)
 VOCABULARY = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(900)]
@@ -74,7 +76,46 @@ def test_exact_passages_are_always_found():
     items = [text(n) for n in range(1, 90, 3)]
     block = Items(list(range(len(items))), [hashed(words(t)) for t in items])
     for i, item in enumerate(items):
-        assert i in {m[0] for m in find(block, hashed(words(f"{text(20)} {item.upper()} {text(20)}")))}
+        assert i in {m[0] for m in find(block, hashed(words(f"{text(20)} {item.upper()} {text(20)}")))[0]}
+
+
+@pytest.mark.parametrize("prefilter", [True, False])
+def test_tables_alone_reach_the_recall_at_the_largest_distance(prefilter):
+    """Candidates come from the LSH tables: with every window embedded, and with the windows that a run suggests."""
+    items = [text(n) for n in (10, 15, 20, 25, 30, 40, 47, 60, 100, 150)]
+    block = Items(list(range(len(items))), [hashed(words(t)) for t in items])
+    found = wanted = 0
+    for _ in range(3):
+        for i, item in enumerate(items):
+            doc = words(f"{text(15)} {edited(item, allowed(len(words(item))))} {text(15)}")
+            wanted += 1
+            found += i in {m[0] for m in find(block, hashed(doc), prefilter=prefilter)[0]}
+    assert found >= 0.9 * wanted
+
+
+def test_edits_at_one_end_of_a_long_item():
+    item = text(300)
+    block = Items([1], [hashed(words(item))])
+    doc = words(text(60) + " " + " ".join(item.split()[60:]))
+    assert [m[0] for m in find(block, hashed(doc))[0]] == [0]
+
+
+def test_a_long_item_beside_many_short_ones_stays_small():
+    rng_ = np.random.default_rng(0)
+    long, short = rng_.integers(1, 1 << 62, 20_000).astype(np.uint64), [rng_.integers(1, 1 << 62, 40).astype(np.uint64) for _ in range(10_000)]
+    block = Items(list(range(10_001)), [*short, long])
+    assert block.nbytes < 100 << 20
+    h = np.concatenate([short[17], long[:10_000], long[10_050:], short[9_999][:38]])
+    got = {m[0]: m[3] for m in find(block, h)[0]}
+    assert got == {17: 0, 10_000: 50, 9_999: 2}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text("aBc É×÷ªµ²½_0'\u00a0\n.", max_size=30)), min_size=1, max_size=5))
+def test_words_cut_as_bytes_are_those_of_the_expression(found):
+    h, count = hashed_words([None if t is None else t.encode() for t in found])
+    assert count.tolist() == [len(words(t)) for t in found]
+    assert h.tolist() == [x for t in found for x in hashed(words(t)).tolist()]
 
 
 def test_blocks_of_a_large_benchmark_agree(spark, corpus, monkeypatch):
@@ -82,7 +123,7 @@ def test_blocks_of_a_large_benchmark_agree(spark, corpus, monkeypatch):
     d = spark.createDataFrame(list(enumerate(docs[:60])), "doc_id long, text string")
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = sorted(map(tuple, contaminated(d, b).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 5000)
     assert sorted(map(tuple, contaminated(d, b).collect())) == want
 
 
