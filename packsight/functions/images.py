@@ -9,6 +9,8 @@ import numpy as np
 
 MAX_PIXELS = 64 << 20
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
+#: Rows that are swept at a time.
+BAND = 512
 #: Channels of a PNG colour type, and the depths it allows.
 PNG_TYPES = {0: (1, (1, 2, 4, 8, 16)), 2: (3, (8, 16)), 3: (1, (1, 2, 4, 8)), 4: (2, (8, 16)), 6: (4, (8, 16))}
 
@@ -51,7 +53,8 @@ def _unfilter(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
         raise BadImage("image data is cut off")
     rows = np.frombuffer(raw, np.uint8, height * (stride + 1)).reshape(height, stride + 1)
     out = np.zeros((height + 1, stride + step), dtype=np.uint8)
-    for y in range(height):
+    y = 0
+    while y < height:
         kind, line = int(rows[y, 0]), rows[y, 1:]
         now, above = out[y + 1], out[y]
         if kind == 0:
@@ -62,20 +65,62 @@ def _unfilter(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
         elif kind == 2:
             now[step:] = line + above[step:]
         elif kind in (3, 4):
-            for x in range(stride):
-                a, b = int(now[x]), int(above[x + step])
-                if kind == 3:
-                    guess = (a + b) >> 1
-                else:
-                    c = int(above[x])
-                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                now[x + step] = (int(line[x]) + guess) & 0xFF
+            stop = y + 1 + int(np.flatnonzero(rows[y : y + BAND, 0] >= 3)[-1])
+            out[y + 1 : stop + 1, step:] = _sweep(rows[y:stop, 0], rows[y:stop, 1:], above[step:], step)
+            y = stop
+            continue
         else:
             raise BadImage("unknown filter")
+        y += 1
     return out[1:, step:]
 
 
+def _sweep(kinds: np.ndarray, lines: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """Rows whose filters look left and up, by diagonals: the pixels with one sum of row and column depend on the two
+    diagonals before alone. kinds: the filter of each row."""
+    if kinds.max() > 4:
+        raise BadImage("unknown filter")
+    height, stride = lines.shape
+    width = -(-stride // step)
+    padded = np.zeros((height, width * step), dtype=np.int16)
+    padded[:, :stride] = lines
+    pixels = padded.reshape(height, width, step)
+    top = np.zeros(width * step, dtype=np.int16)
+    top[:stride] = above
+    top = top.reshape(width, step)
+    slanted = np.zeros((height + width - 1, height, step), dtype=np.int16)
+    for y in range(height):
+        slanted[y : y + width, y] = pixels[y]
+    uses = [(kinds == k).astype(np.int16)[:, None] for k in range(5)]
+    plain = [bool(u.any()) for u in uses]
+    # the diagonals before, with the row above them in front
+    one, two = np.zeros((height + 1, step), dtype=np.int16), np.zeros((height + 1, step), dtype=np.int16)
+    for d in range(height + width - 1):
+        low, high = max(0, d - width + 1), min(height - 1, d) + 1
+        if d < width:
+            one[0] = top[d]
+        left, up, corner = one[low + 1 : high + 1], one[low:high], two[low:high]
+        guess = uses[1][low:high] * left if plain[1] else 0
+        if plain[2]:
+            guess = guess + uses[2][low:high] * up
+        if plain[3]:
+            guess = guess + uses[3][low:high] * ((left + up) >> 1)
+        if plain[4]:
+            off_left, off_up = np.abs(up - corner), np.abs(left - corner)
+            off_corner = np.abs(left + up - 2 * corner)
+            near = np.where((off_left <= off_up) & (off_left <= off_corner), left, np.where(off_up <= off_corner, up, corner))
+            guess = guess + uses[4][low:high] * near
+        now = (slanted[d, low:high] + guess) & 255
+        slanted[d, low:high] = now
+        two, one = one, two
+        one[low + 1 : high + 1] = now
+        if low:
+            one[:low + 1] = 0
+    for y in range(height):
+        pixels[y] = slanted[y : y + width, y]
+    return padded[:, :stride].astype(np.uint8)
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """All colour types and depths, not interlaced. 16-bit samples keep their high byte."""
     if data[:8] != PNG_MAGIC:
@@ -151,59 +196,73 @@ def _zigzag() -> np.ndarray:
     return np.array([8 * y + x for y, x in sorted(cells, key=lambda c: (sum(c), c[0] if sum(c) % 2 else c[1]))])
 
 
+# What chroma adds to red, takes from green (blue's, red's) and adds to blue, in 1024ths, and their rounding.
+TO_RED, TO_GREEN, TO_BLUE, HALF = 1436, (352, 731), 1814, 512
+
 ZIGZAG = _zigzag()
 _K = np.arange(8)
 _DCT = np.cos((2 * _K[:, None] + 1) * _K[None, :] * np.pi / 16) * np.where(_K == 0, np.sqrt(1 / 8), 0.5)
 
 
-class _Bits:
-    """Entropy-coded bits of one restart interval, stuffing removed."""
-
-    def __init__(self, data: bytes):
-        self.data, self.at, self.hold, self.n = data, 0, 0, 0
-
-    def fill(self, n: int) -> None:
-        while self.n < n:
-            byte = self.data[self.at] if self.at < len(self.data) else 0
-            if self.at > len(self.data) + 64:
-                raise BadImage("scan is cut off")
-            self.at += 1
-            self.hold = (self.hold << 8 | byte) & 0xFFFFFFFFFF
-            self.n += 8
-
-    def take(self, n: int) -> int:
-        if not n:
-            return 0
-        self.fill(n)
-        self.n -= n
-        return self.hold >> self.n & (1 << n) - 1
-
-    def code(self, table: tuple[np.ndarray, np.ndarray]) -> int:
-        self.fill(16)
-        peek = self.hold >> self.n - 16 & 0xFFFF
-        size = int(table[0][peek])
-        if not size:
-            raise BadImage("bad Huffman code")
-        self.n -= size
-        return int(table[1][peek])
-
-
-def _huffman(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Code length and symbol of every 16-bit lookahead."""
-    size, symbol = np.zeros(1 << 16, dtype=np.uint8), np.zeros(1 << 16, dtype=np.uint8)
+def _huffman(counts: bytes, symbols: bytes) -> list[int]:
+    """For every 16-bit lookahead: length of its code << 8 | symbol; 0 where no code begins so."""
+    out = np.zeros(1 << 16, dtype=np.int64)
     code, k = 0, 0
     for length, count in enumerate(counts, 1):
         for _ in range(count):
             first = code << 16 - length
-            size[first : first + (1 << 16 - length)] = length
-            symbol[first : first + (1 << 16 - length)] = symbols[k]
+            out[first : first + (1 << 16 - length)] = length << 8 | symbols[k]
             code, k = code + 1, k + 1
         code <<= 1
-    return size, symbol
-
-
-def _extend(bits: int, n: int) -> int:
-    return bits - (1 << n) + 1 if n and bits < 1 << n - 1 else bits
+    return out.tolist()
+
+
+def _coefficients(data: bytes, units: int, blocks: list[tuple[int, list[int], list[int]]], components: int) -> list[list[int]]:
+    """One restart interval, stuffing removed -> for each component (place, value, place, value ...) of its coefficients,
+    blocks numbered as they come. blocks: (component, table of the first coefficient, table of the others) of a unit."""
+    out: list[list[int]] = [[] for _ in range(components)]
+    number, before = [0] * components, [0] * components
+    at = hold = n = 0
+    limit, order = len(data) + 64, ZIGZAG.tolist()
+    data += bytes(80)
+    for _ in range(units):
+        for i, first, others in blocks:
+            base, put = 64 * number[i], out[i]
+            number[i] += 1
+            k, table = 0, first
+            while k < 64:
+                if n < 32:  # enough for a code and what follows it
+                    if at > limit:
+                        raise BadImage("scan is cut off")
+                    hold = (hold & (1 << n) - 1) << 48 | int.from_bytes(data[at : at + 6], "big")
+                    at, n = at + 6, n + 48
+                found = table[hold >> n - 16 & 0xFFFF]
+                if not found:
+                    raise BadImage("bad Huffman code")
+                n -= found >> 8
+                run, size = (found & 0xFF) >> 4, found & 15
+                value = 0
+                if size:
+                    n -= size
+                    value = hold >> n & (1 << size) - 1
+                    if not value >> size - 1:
+                        value -= (1 << size) - 1
+                if not k:
+                    before[i] += value
+                    put += (base, before[i])
+                    k, table = 1, others
+                    continue
+                if not size:
+                    if run < 15:
+                        break
+                    k += 16
+                    continue
+                k += run
+                if k > 63:
+                    raise BadImage("too many coefficients")
+                put += (base + order[k], value)
+                k += 1
+    return out
 
 
 def decode_jpeg(data: bytes) -> np.ndarray:
@@ -264,6 +323,8 @@ def _scan(data, at, body, frame, quant, tables, restart, adobe) -> np.ndarray:
     h_max, v_max = max(c[1] for c in components), max(c[2] for c in components)
     across, down = -(-width // (8 * h_max)), -(-height // (8 * v_max))
     planes = [np.zeros((down * v, across * h, 64)) for _, h, v, _ in components]
+    kinds = [(tables[chosen[c[0]] >> 4], tables[0x10 | chosen[c[0]] & 15]) for c in components]
+    blocks = [(i, *kinds[i]) for i, (_, h, v, _) in enumerate(components) for _ in range(h * v)]
     segments, begin, place = [], at, at
     while place < len(data) - 1:
         place = data.find(b"\xff", place)
@@ -280,33 +341,14 @@ def _scan(data, at, body, frame, quant, tables, restart, adobe) -> np.ndarray:
     segments.append(data[begin:place])
     total, unit = across * down, 0
     for segment in segments:
-        bits = _Bits(segment.replace(b"\xff\x00", b"\xff"))
-        previous = [0] * len(components)
-        for _ in range(min(restart or total, total - unit)):
-            my, mx = divmod(unit, across)
-            for i, (number, h, v, _) in enumerate(components):
-                dc, ac = tables[chosen[number] >> 4], tables[0x10 | chosen[number] & 15]
-                for by in range(v):
-                    for bx in range(h):
-                        block = planes[i][my * v + by, mx * h + bx]
-                        n = bits.code(dc)
-                        previous[i] += _extend(bits.take(n), n)
-                        block[0] = previous[i]
-                        k = 1
-                        while k < 64:
-                            rs = bits.code(ac)
-                            run, n = rs >> 4, rs & 15
-                            if not n:
-                                if run < 15:
-                                    break
-                                k += 16
-                                continue
-                            k += run
-                            if k > 63:
-                                raise BadImage("too many coefficients")
-                            block[ZIGZAG[k]] = _extend(bits.take(n), n)
-                            k += 1
-            unit += 1
+        here = min(restart or total, total - unit)
+        for plane, (_, h, v, _), found in zip(planes, components, _coefficients(segment.replace(b"\xff\x00", b"\xff"), here, blocks, len(components)), strict=True):
+            place, value = np.array(found[::2], dtype=np.int64), found[1::2]
+            number = place // 64
+            mcu = unit + number // (h * v)
+            inner = number % (h * v)
+            plane[mcu // across * v + inner // h, mcu % across * h + inner % h, place % 64] = value
+        unit += here
     full = []
     for plane, (_, h, v, q) in zip(planes, components, strict=True):
         blocks = (plane * quant[q]).reshape(*plane.shape[:2], 8, 8)
@@ -319,8 +361,9 @@ def _scan(data, at, body, frame, quant, tables, restart, adobe) -> np.ndarray:
         return out
     rgb = np.stack(full[:3], axis=2)
     if adobe != 0 if len(full) == 3 else adobe == 2:
-        y, cb, cr = rgb[..., 0], rgb[..., 1] - 128, rgb[..., 2] - 128
-        rgb = np.stack((y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb), axis=2)
+        y, cb, cr = (rgb[..., 0].astype(np.int64), rgb[..., 1].astype(np.int64) - 128, rgb[..., 2].astype(np.int64) - 128)
+        red, green, blue = TO_RED * cr, TO_GREEN[0] * cb + TO_GREEN[1] * cr, TO_BLUE * cb
+        rgb = np.clip(np.stack((y + (red + HALF >> 10), y - (green + HALF >> 10), y + (blue + HALF >> 10)), axis=2), 0, 255)
     if len(full) == 4:  # inks are stored inverted
         rgb = np.clip(rgb, 0, 255) * full[3][..., None] / 255
     out[..., :3] = np.clip(np.round(rgb), 0, 255)
