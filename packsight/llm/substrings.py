@@ -22,12 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packsight.llm.common import id_and_text, pieces, texts, trim
+from packsight.llm.common import hashes, id_and_text, pieces, texts, trim, word_array
 from packsight.session import Scratch, ship
 
 WINDOW, PIECE = 13, 3
@@ -48,11 +47,10 @@ FOUND = "key long, mark long, mark2 long, begin int, stop int"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _code(words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _code(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words, and a 64-bit hash of each number's word."""
-    coded = (words if isinstance(words, pa.Array) else pa.array(words, pa.binary())).dictionary_encode()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
-    return coded.indices.to_numpy().astype(np.int64), hashes
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), hashes(coded.dictionary)
 
 
 def _pieces(h: np.ndarray) -> np.ndarray:
@@ -63,23 +61,19 @@ def _pieces(h: np.ndarray) -> np.ndarray:
     return (out ^ out >> np.uint64(32)) * _MIX
 
 
-def _words(batch: pa.RecordBatch) -> tuple[list[list[bytes]], np.ndarray]:
-    split = [t.split() if t else [] for t in texts(batch.column("text"))]
-    return split, np.concatenate(([0], np.cumsum([len(s) for s in split], dtype=np.int64)))
-
-
-def _flat(split: list[list[bytes]]) -> list[bytes]:
-    return [w for s in split for w in s]
+def _words(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """All words of a batch, and where each text's begin and the last one's end."""
+    words, count = word_array(texts(batch.column("text")))
+    return words, np.concatenate(([0], np.cumsum(count)))
 
 
 def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces that are common among the documents of one chunk, with their counts."""
     for batch in pieces(batches):
-        split, _ = _words(batch)
-        code, hashes = _code(_flat(split))
+        code, own = _code(_words(batch)[0])
         if len(code) < PIECE:
             continue
-        piece, count = np.unique(_pieces(hashes[code]), return_counts=True)
+        piece, count = np.unique(_pieces(own[code]), return_counts=True)
         often = count > max(COMMON_LEAST / 8, COMMON_SHARE * batch.num_rows)
         yield pa.RecordBatch.from_arrays([pa.array(piece[often].view(np.int64)), pa.array(count[often])], ["piece", "n"])
 
@@ -130,30 +124,29 @@ def _send(common: np.ndarray, buckets: int, wide: bool):
         turn = 0
         seen: dict[bytes, int] = {}
         for batch in pieces(batches):
-            split, ends = _words(batch)
-            flat = _flat(split)
-            if len(flat) < WINDOW:
+            words, ends = _words(batch)
+            if len(words) < WINDOW:
                 continue
-            code, hashes = _code(flat)
-            piece = _pieces(hashes[code])
+            code, own = _code(words)
+            piece = _pieces(own[code])
             if len(common):
                 near = np.minimum(np.searchsorted(common, piece), len(common) - 1)
                 rank = piece >> np.uint64(1) | (common[near] == piece).astype(np.uint64) << np.uint64(63)
             else:
                 rank = piece >> np.uint64(1)
             span = WINDOW - PIECE + 1
-            low = rank[: len(flat) - WINDOW + 1].copy()
+            low = rank[: len(words) - WINDOW + 1].copy()
             for j in range(1, span):
                 np.minimum(low, rank[j : j + len(low)], out=low)
-            doc = np.repeat(np.arange(len(split)), np.diff(ends))
+            doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
             start = np.flatnonzero(doc[: len(low)] == doc[WINDOW - 1 :])
             if not len(start):
                 continue
             first, count = _runs_by(doc[start], low[start], start)
             begin, stop = start[first], start[first] + count + WINDOW - 1
-            joined = b" ".join(flat)
-            upto = np.cumsum(np.fromiter(map(len, flat), dtype=np.int64, count=len(flat)) + 1)
-            left, right = (upto[begin] - np.fromiter((len(flat[i]) for i in begin.tolist()), dtype=np.int64, count=len(begin)) - 1).tolist(), (upto[stop - 1] - 1).tolist()
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(b" ", pa.large_binary()))[0].as_py()
+            offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)
+            left, right = (offsets[begin] + begin).tolist(), (offsets[stop] + stop - 1).tolist()
             strings = [joined[a:b] for a, b in zip(left, right, strict=True)]
             key, mark, mark2 = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("key", "mark", "mark2"))
             of = doc[begin]
@@ -194,13 +187,13 @@ def _row(bucket: int, settled: bool, blob: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([settled]), pa.array([blob], pa.binary())], ["bucket", "settled", "blob"])
 
 
-def count_windows(key: np.ndarray, length: np.ndarray, words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def count_windows(key: np.ndarray, length: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Super-k-mers of one bucket -> (super-k-mer, offset) of the windows that also start in one with a smaller key.
 
     length: words of each super-k-mer; words: all of them, one super-k-mer after the other.
     """
-    code, hashes = _code(words)
-    h = hashes[code]
+    code, own = _code(words)
+    h = own[code]
     ends = np.cumsum(length)
     each = length - WINDOW + 1
     of = np.repeat(np.arange(len(key)), each)
@@ -208,27 +201,28 @@ def count_windows(key: np.ndarray, length: np.ndarray, words: list[bytes] | pa.A
     mixed = h[start]
     for j in range(1, WINDOW):
         mixed = (mixed ^ mixed >> np.uint64(31)) * _MIX + h[start + j]
-    order = np.lexsort((key[of], mixed))
+    order = np.argsort(mixed)
     value = mixed[order]
     fresh = np.concatenate(([True], value[1:] != value[:-1]))
-    head = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-    met = np.flatnonzero(~fresh)
-    steps = np.arange(WINDOW)
-    twin = np.ones(len(met), dtype=bool)
-    for at in range(0, len(met), 1 << 16):
-        part = met[at : at + (1 << 16)]
-        twin[at : at + (1 << 16)] = (code[start[order[part]][:, None] + steps] == code[start[order[head[part]]][:, None] + steps]).all(axis=1)
-    later = key[of[order[met]]] > key[of[order[head[met]]]]
-    hit = order[met[twin & later]]
+    # groups of windows with one hash: each is compared with the first, and goes if some window has a smaller key
+    met = np.flatnonzero(~fresh | np.append(~fresh[1:], False))
+    order, group = order[met], np.cumsum(fresh[met]) - 1
+    first = np.flatnonzero(fresh[met])
+    least = np.minimum.reduceat(key[of[order]], first) if len(first) else first
+    twin = np.ones(len(order), dtype=bool)
+    head, steps = start[order[first]][group] if len(first) else group, np.arange(WINDOW)
+    for at in range(0, len(order), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        twin[part] = (code[start[order[part]][:, None] + steps] == code[head[part][:, None] + steps]).all(axis=1)
+    hit = order[key[of[order]] > least[group]] if len(first) else order
     if not twin.all():  # different windows with one hash: settle those groups by their words
-        clash = np.isin(head, head[met[~twin]])
+        clash = np.isin(group, group[~twin])
         seen: dict[bytes, int] = {}
-        extra = []
-        for i in order[clash].tolist():
-            window = code[start[i] : start[i] + WINDOW].tobytes()
-            if seen.setdefault(window, int(key[of[i]])) < key[of[i]]:
-                extra.append(i)
-        hit = np.concatenate((hit[~np.isin(hit, order[clash])], np.array(extra, dtype=np.int64)))
+        windows = [(code[start[i] : start[i] + WINDOW].tobytes(), int(key[of[i]]), i) for i in order[clash].tolist()]
+        for window, k, _ in windows:
+            seen[window] = min(seen.get(window, k), k)
+        extra = np.array([i for window, k, i in windows if seen[window] < k], dtype=np.int64)
+        hit = np.concatenate((hit[~np.isin(hit, order[clash])], extra))
     hit = np.sort(hit)
     return of[hit], start[hit] - (ends - length)[of[hit]]
 
