@@ -68,10 +68,11 @@ def flat_map(df: DataFrame, rows: Callable[[bytes], Iterable[tuple]], schema: st
                         held.append((name, *row, None))
                         if len(held) >= ROWS:
                             yield flush()
-                except (BadPackage, MemoryError, RecursionError) as e:
+                except Exception as e:  # whatever a hostile blob does to a parser, the job goes on
                     if mode == "FAILFAST":
                         raise
-                    held.append((name, *[None] * width, str(e) or type(e).__name__))
+                    known = isinstance(e, BadPackage) and str(e)
+                    held.append((name, *[None] * width, known or f"{type(e).__name__}: {e}"))
         if held:
             yield flush()
 
@@ -163,6 +164,15 @@ def last_duplicates(entries_df: DataFrame) -> DataFrame:
     return good.groupBy("container_id", "path").agg(F.max_by(F.struct(*names), "cd_index").alias("e")).select(*[f"e.{n}" for n in names])
 
 
+def existing(paths: DataFrame, entries_df: DataFrame) -> DataFrame:
+    """Rows (container_id, path) whose path is an entry of the container."""
+    return paths.join(entries_df, ["container_id", "path"], "left_semi")
+
+
+def missing(paths: DataFrame, entries_df: DataFrame) -> DataFrame:
+    return paths.join(entries_df, ["container_id", "path"], "left_anti")
+
+
 def base_members(df: DataFrame) -> DataFrame:
     """Containers with bundles replaced by their base package; what cannot be read keeps its content and gets an error."""
 
