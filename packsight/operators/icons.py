@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packsight.functions.images import encode_png
-from packsight.operators.metadata import metadata
+from packsight.operators.metadata import METADATA, derived, metadata
 from packsight.operators.ranking import order_statistic
 from packsight.operators.package import IconOptions, Package, Recording, render
 from packsight.operators.tables import flat_map
@@ -63,9 +63,16 @@ def icons(df: DataFrame, options: IconOptions = IconOptions(), sizes: Sequence[i
 
 
 def preview(df: DataFrame, options: IconOptions = IconOptions(size=192)) -> DataFrame:
-    """Metadata of each container that has it, with its icon where there is one."""
-    found = icons(df, options).select("container_id", "png")
-    return metadata(df).join(found, "container_id", "left")
+    """Metadata of each container that has it, with its icon where there is one: both from one reading of the blob."""
+
+    def rows(data: bytes) -> list[tuple]:
+        found = derived(data)
+        if not found:
+            return []
+        icon = Package(data, options).record()
+        return [(*found[0], encode_png(render(icon, options.size, options.mask, options.isolate)) if icon else None)]
+
+    return flat_map(df, rows, f"{METADATA}, png binary").where("error IS NULL").drop("error")
 
 
 class Session:
@@ -103,3 +110,12 @@ def stage_report(timings: DataFrame) -> DataFrame:
     for name, p in (("p50_ms", 0.5), ("p95_ms", 0.95)):
         out = out.join(order_statistic(timings, "stage", "ms", p).withColumnRenamed("ms", name), "stage")
     return out
+
+
+def report_text(report: DataFrame) -> str:
+    """A stage report as lines of text, slowest stage first; milliseconds with three decimals and each stage's share."""
+    rows = sorted(report.collect(), key=lambda r: (-r.total_ms, r.stage))
+    total = sum(r.total_ms for r in rows) or 1.0
+    head = f"{'stage':<16}{'n':>8}{'total':>12}{'share':>8}{'min':>10}{'avg':>10}{'std':>10}{'p50':>10}{'p95':>10}{'max':>10}"
+    line = lambda r: f"{r.stage:<16}{r.n:>8}{r.total_ms:>12.3f}{100 * r.total_ms / total:>7.1f}%{r.min_ms:>10.3f}{r.avg_ms:>10.3f}{r.std_ms:>10.3f}{r.p50_ms:>10.3f}{r.p95_ms:>10.3f}{r.max_ms:>10.3f}"
+    return "\n".join([head, *map(line, rows)])

@@ -1,7 +1,7 @@
-"""Package metadata as a Catalyst plan over the node, attribute, entry and resource tables.
+"""Package metadata: in one pass over each blob, or as a Catalyst plan over the node, attribute, entry and resource tables.
 
-The tables come from a container without a shuffle; here they meet on container_id alone. Manifests are small, so
-the grouped aggregates reduce to one row per container on the map side.
+``metadata`` reads a container once and shuffles nothing. For tables that were written earlier, ``metadata_of`` and its
+parts say the same with grouped aggregates and equi-joins on container_id.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packsight.operators import tables
+from packsight.operators import rules, tables
 from packsight.operators.package import Package
 from packsight.operators.rules import abi_col
 from packsight.sources import chunks
@@ -57,8 +57,8 @@ def boolean_text(c: Column) -> Column:
 def attributes_by_node(manifest: DataFrame) -> DataFrame:
     """One row per node with the attributes that metadata reads, the first of each name that has a value.
 
-    Rows are dealt by container alone, which the grouping by node here and that by container later both accept: one
-    shuffle for all of it.
+    Rows are dealt by container alone, before they are aggregated: the grouping by node here and that by container later
+    both accept it, so there is one shuffle, of the attribute rows.
     """
     wanted = {
         "package": attribute_text(), "versionCode": attribute_int(), "versionName": attribute_text(), "minSdkVersion": attribute_int(),
@@ -133,19 +133,29 @@ def label_texts(df: DataFrame) -> DataFrame:
     return tables.flat_map(df, rows, "container_id string, res_id int, str string")
 
 
+def _in(tag: str, value: Column) -> Column:
+    return F.when((F.col("tag") == tag) & value.isNotNull(), F.col("node_id"))
+
+
+def first_in(tag: str, value: Column) -> Column:
+    """Aggregates nodes: the first value that a node of this tag has."""
+    return F.min_by(value, _in(tag, value))
+
+
+def last_in(tag: str, value: Column) -> Column:
+    return F.max_by(value, _in(tag, value))
+
+
 def metadata_of(manifest: DataFrame, entries: DataFrame, texts: DataFrame) -> DataFrame:
     """One row per container whose manifest names a package."""
-    when = lambda tag, value: F.when((F.col("tag") == tag) & value.isNotNull(), F.col("node_id"))
-    first = lambda tag, value: F.min_by(value, when(tag, value))
-    last = lambda tag, value: F.max_by(value, when(tag, value))
     root = lambda name: F.min_by(F.col(f"a_{name}"), F.when(F.col("parent_id").isNull(), F.col("node_id")))
     icon = F.nullif(F.trim("a_icon"), F.lit(""))
     alias = F.when(F.coalesce(F.col("a_enabled"), F.lit("true")) != "false", icon)
     one = attributes_by_node(manifest).groupBy("container_id").agg(
         root("package").alias("package_name"), root("versionCode").alias("code"), root("versionName").alias("version_name"),
-        last("uses-sdk", F.col("a_minSdkVersion")).alias("min1"), root("minSdkVersion").alias("min2"),
-        last("uses-sdk", F.col("a_targetSdkVersion")).alias("target1"), root("targetSdkVersion").alias("target2"),
-        first("application", F.col("a_label")).alias("label"), first("application", icon).alias("icon1"), first("activity-alias", alias).alias("icon2"),
+        last_in("uses-sdk", F.col("a_minSdkVersion")).alias("min1"), root("minSdkVersion").alias("min2"),
+        last_in("uses-sdk", F.col("a_targetSdkVersion")).alias("target1"), root("targetSdkVersion").alias("target2"),
+        first_in("application", F.col("a_label")).alias("label"), first_in("application", icon).alias("icon1"), first_in("activity-alias", alias).alias("icon2"),
         declared_permissions().alias("listed"),
     ).where("trim(package_name) != ''")
     label_id = F.regexp_replace("label", "^@(?:0[xX])?", "")
@@ -161,9 +171,72 @@ def metadata_of(manifest: DataFrame, entries: DataFrame, texts: DataFrame) -> Da
     )
 
 
+METADATA = (
+    "container_id string, package_name string, application_label string, version_code int, version_name string, min_sdk int, target_sdk int, "
+    "architectures array<string>, permissions array<struct<name:string,max_sdk_version:int,required:boolean>>, launcher_icon_ref string"
+)
+
+
+def text_value(a: chunks.Attribute) -> str | None:
+    """``attribute_text`` for one attribute."""
+    raw = a.raw if a.raw and a.raw.strip(" ") else None
+    if a.type == chunks.T_REFERENCE:
+        return raw if raw is not None else f"@{(a.data or 0) & 0xFFFFFFFF:08x}"
+    if a.type in (chunks.T_DEC, chunks.T_HEX):
+        return str(a.data)
+    if a.type == chunks.T_BOOL:
+        return "true" if a.data else "false"
+    return raw
+
+
+def int_value(a: chunks.Attribute) -> int | None:
+    if a.type in (chunks.T_DEC, chunks.T_HEX):
+        return a.data
+    written = re.fullmatch(r"[+-]?[0-9]+", a.raw or "", re.ASCII)
+    return n if written and -(1 << 31) <= (n := int(a.raw)) < 1 << 31 else None
+
+
+def derived(data: bytes) -> list[tuple]:
+    """One package's metadata, read once: the rules of ``metadata_of`` node by node. No manifest or name: no row."""
+    found = Package(data)
+    if found.manifest is None:
+        return []
+    nodes = list(found.manifest.walk())
+
+    def value(node, name: str, read=text_value):
+        return next((v for a in node.attributes if named(a, name) and (v := read(a)) is not None), None)
+
+    root = nodes[0]
+    package = value(root, "package")
+    if package is None or not package.strip(" "):
+        return []
+    sdk = {}
+    for name in ("minSdkVersion", "targetSdkVersion"):
+        stated = [v for n in nodes if n.tag == "uses-sdk" and (v := value(n, name, int_value)) is not None]
+        sdk[name] = stated[-1] if stated else value(root, name, int_value)
+    target = sdk["targetSdkVersion"] if sdk["targetSdkVersion"] is not None else sdk["minSdkVersion"]
+    permissions: dict[str, tuple] = {}
+    for n in nodes:
+        name = (value(n, "name") or "").strip(" ") if n.tag in PERMISSION_TAGS else ""
+        if name and name not in permissions:
+            required = value(n, "required")
+            permissions[name] = value(n, "maxSdkVersion", int_value), required is None or required.strip(" ").lower() not in ("false", "0", "no")
+    label = next((v for n in nodes if n.tag == "application" and (v := value(n, "label")) is not None), None)
+    if label and label.startswith("@"):
+        written = re.fullmatch(r"@(?:0[xX])?([0-9a-fA-F]{1,8})", label)
+        label = found.table.string(chunks.signed(int(written[1], 16))) if written and found.table else None
+    icons = [(n.tag, icon, value(n, "enabled")) for n in nodes if n.tag in ("application", "activity-alias") and (icon := (value(n, "icon") or "").strip(" "))]
+    icon = next((i for tag, i, _ in icons if tag == "application"), None) or next((i for tag, i, on in icons if tag == "activity-alias" and on != "false"), None)
+    code = value(root, "versionCode", int_value)
+    abis = sorted({abi for path in found.archive.entries if (abi := rules.abi(path))})
+    rows = [{"name": n, "max_sdk_version": most, "required": needed} for n, (most, needed) in sorted(permissions.items())]
+    return [(package, label, max(1, code or 1), value(root, "versionName"), sdk["minSdkVersion"], target, abis, rows, icon)]
+
+
 def metadata(df: DataFrame) -> DataFrame:
-    """Metadata of containers; those without a readable manifest or package name have no row."""
-    return metadata_of(tables.manifest_rows(df), tables.entries(df), label_texts(df))
+    """Metadata of containers, one pass over each blob and no shuffle; those without a readable manifest or package name
+    have no row. ``metadata_of`` says the same of tables that are there already."""
+    return tables.flat_map(df, derived, METADATA).where("error IS NULL").drop("error")
 
 
 def permissions(df: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ and no shuffle. What can be said over tables is in ``metadata`` and ``ranking``.
 
 from __future__ import annotations
 
+import json
 import logging
-import pickle
 import re
+import struct
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, fields
 from functools import cached_property
 
 import numpy as np
@@ -49,12 +51,61 @@ class Recording:
     foreground: int | np.ndarray | vector.Drawing | None = None
 
     def pack(self) -> bytes:
-        return pickle.dumps(self, protocol=5)
+        """Versioned: magic, length of the JSON that tells the layers, that JSON, and the bitmaps' compressed pixels."""
+        pixels: list[bytes] = []
+        told = json.dumps(_told(self, pixels), separators=(",", ":")).encode()
+        return RECORDING_MAGIC + struct.pack("<I", len(told)) + told + b"".join(struct.pack("<I", len(p)) + p for p in pixels)
 
     @staticmethod
     def unpack(data: bytes) -> Recording:
-        """Only for what ``pack`` wrote in this engine's own tables."""
-        return pickle.loads(data)
+        if data[:4] != RECORDING_MAGIC:
+            raise ValueError("not a recording of this version")
+        size, = struct.unpack_from("<I", data, 4)
+        pixels, at = [], 8 + size
+        while at < len(data):
+            n, = struct.unpack_from("<I", data, at)
+            pixels.append(data[at + 4 : at + 4 + n])
+            at += 4 + n
+        return _built(json.loads(data[8 : 8 + size]), pixels)
+
+
+RECORDING_MAGIC = b"PKR1"
+PAINTS = {"solid": vector.Solid, "linear": vector.Linear, "radial": vector.Radial}
+
+
+def _told(layer, pixels: list[bytes]):
+    """A layer as plain values; pixels of bitmaps are put aside."""
+    if layer is None or isinstance(layer, int):
+        return layer
+    if isinstance(layer, list):
+        return [_told(x, pixels) for x in layer]
+    if isinstance(layer, np.ndarray):
+        pixels.append(zlib.compress(layer.tobytes(), 1))
+        return {"bitmap": len(pixels) - 1, "height": layer.shape[0], "width": layer.shape[1]}
+    if isinstance(layer, vector.Drawing):
+        paths = []
+        for p in layer.paths:
+            kind = next((k for k, c in PAINTS.items() if isinstance(p.fill, c)), None)
+            paths.append({**{f.name: getattr(p, f.name) for f in fields(p) if f.name != "fill"}, "fill": kind and [kind, asdict(p.fill)]})
+        return {"drawing": paths, "width": layer.width, "height": layer.height, "alpha": layer.alpha}
+    return {"icon": [layer.icon_ref, layer.source_path, layer.tier], "layers": [_told(x, pixels) for x in (layer.bitmap, layer.background, layer.foreground)]}
+
+
+def _built(told, pixels: list[bytes]):
+    if told is None or isinstance(told, int):
+        return told
+    if isinstance(told, list):
+        return [_built(x, pixels) for x in told]
+    if "bitmap" in told:
+        return np.frombuffer(zlib.decompress(pixels[told["bitmap"]]), np.uint8).reshape(told["height"], told["width"], 4)
+    if "drawing" in told:
+        tuples = lambda v: tuple(map(tuples, v)) if isinstance(v, list) else v
+        paths = []
+        for p in told["drawing"]:
+            fill = p["fill"] and PAINTS[p["fill"][0]](**{k: tuples(v) for k, v in p["fill"][1].items()})
+            paths.append(vector.Path(**{**p, "commands": [tuple(c) for c in p["commands"]], "fill": fill}))
+        return vector.Drawing(paths, told["width"], told["height"], told["alpha"])
+    return Recording(*told["icon"], *(_built(x, pixels) for x in told["layers"]))
 
 
 def text_of(a: Attribute) -> str | None:
@@ -300,8 +351,8 @@ class Package:
     def layer(self, node: Node, depth: int):
         """What a layer element shows: a colour, a bitmap, a drawing, or a recording of several layers."""
         ref = attr(node, "drawable")
-        if ref is not None:
-            return simple(self.record_ref(ref, depth))
+        if ref is not None:  # inside a drawable, names mean pictures before documents
+            return simple(self.record_ref(ref, depth, xml_first=self.options.adaptive and "/" not in ref))
         for child in node.children:
             argb = self.plain_colour(child)
             if argb is not None:

@@ -70,13 +70,27 @@ def tiers(*columns: str) -> Column:
     return F.coalesce(*columns)
 
 
+#: Relative error of the sketch that brackets an order statistic.
+ACCURACY = 10_000
+
+
 def order_statistic(df: DataFrame, group: str, value: str, p: float) -> DataFrame:
-    """The value at floor((n - 1) p) of each group's sorted values.
+    """The value at floor((n - 1) p) of each group's sorted numbers; a null is no value and a group of nulls has no row.
 
-    Values are counted first, so what is ranked is one row per distinct value, and a hot group shrinks before it moves.
+    A mergeable sketch of bounded size brackets the rank between two values of each group. The second pass counts what is
+    below the bracket and the distinct values in it, some 4 / ACCURACY of a group's at most, and ranks only those: no group
+    is sorted or held, whatever its size.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
-    total = counted.groupBy(group).agg(F.sum("__n").alias("__total"))
-    running = counted.withColumn("__upto", F.sum("__n").over(Window.partitionBy(group).orderBy(value)))
-    at = F.floor((F.col("__total") - 1) * F.lit(p))
-    return running.join(total, group).where((F.col("__upto") > at) & (F.col("__upto") - F.col("__n") <= at)).select(group, value)
+    known = df.where(F.col(value).isNotNull()).select(group, value)
+    spread = 2.0 / ACCURACY
+    ends = F.percentile_approx(value, [max(0.0, p - spread), min(1.0, p + spread)], ACCURACY)
+    bracket = known.groupBy(group).agg(ends.alias("__ends"), F.count(F.lit(1)).alias("__total"), F.min(value).alias("__min"), F.max(value).alias("__max"))
+    small = F.col("__total") <= 5 * ACCURACY  # ranked whole: a sketch counts ranks a little differently
+    low = F.when(small | F.lit(p <= spread), F.col("__min")).otherwise(F.col("__ends")[0])
+    high = F.when(small | F.lit(p >= 1 - spread), F.col("__max")).otherwise(F.col("__ends")[1])
+    bracket = bracket.select(F.col(group).alias("__group"), low.alias("__low"), high.alias("__high"), F.floor((F.col("__total") - 1) * F.lit(p)).alias("__at"))
+    near = known.join(bracket, F.col(group).eqNullSafe(F.col("__group"))).where(F.col(value) <= F.col("__high"))
+    slot = F.when(F.col(value) >= F.col("__low"), F.col(value))  # null: below the bracket, and first in order
+    counted = near.groupBy(group, slot.alias("__slot")).agg(F.count(F.lit(1)).alias("__n"), F.first("__at").alias("__at"))
+    running = counted.withColumn("__upto", F.sum("__n").over(Window.partitionBy(group).orderBy(F.asc_nulls_first("__slot"))))
+    return running.where((F.col("__upto") > F.col("__at")) & (F.col("__upto") - F.col("__n") <= F.col("__at"))).select(group, F.col("__slot").alias(value))

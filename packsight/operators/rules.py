@@ -40,6 +40,12 @@ def adaptive_score(path: str) -> int:
     return 4 * ("mipmap" in lower) + 3 * ("launcher" in lower) + 2 * lower.endswith("e4.xml")
 
 
+def abi(path: str) -> str | None:
+    """The ABI of a native library's path."""
+    parts = path.split("/")
+    return parts[1] if path.startswith("lib/") and path.endswith(".so") and parts[1] in ABIS else None
+
+
 # --- the same as columns ---
 
 

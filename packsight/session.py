@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -56,13 +57,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none, one under /tmp is set, and removed
-    again when this process ends."""
+    """The folder that driver and executors share. Only a session on one machine that names none gets one under /tmp, which
+    is removed again when this process ends; on a cluster the setting must be there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = now.get() if now.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = f"/tmp/checkpoints/packsight-{spark.sparkContext.applicationId}"
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -70,12 +74,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Roots of the tables that this process wrote, for ``clean``.
+_roots: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that this process wrote to the shared folder: for when their results have been read."""
+    while _roots:
+        _delete(spark, _roots.pop())
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clean_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if _roots and spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            clean(spark)
+
+
+atexit.register(_clean_at_exit)
+
+
 class Scratch:
-    """Tables written to the shared folder to cut lineage: lost executors reread files, not whole plans."""
+    """Tables written to the shared folder to cut lineage: lost executors reread files, not whole plans.
+
+    They stay until ``clean`` or the end of the process: results are read from them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/packsight-tables/{name}-{uuid.uuid4().hex}"
+        _roots.append(self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -83,7 +116,5 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")

@@ -74,20 +74,23 @@ class Archive:
         return self.data[begin : begin + entry.packed] if begin + entry.packed <= len(self.data) else None
 
     def read(self, path: str) -> bytes | memoryview | None:
-        """An entry's bytes (a view without copying if stored); None if it is missing, broken or packed otherwise."""
+        """An entry's bytes (a view without copying if stored); None if it is missing, broken or packed otherwise. One that
+        would inflate beyond MAX_ENTRY is an error."""
         entry = self.entries.get(path)
         packed = self.payload(entry) if entry else None
         if packed is None:
             return None
         if entry.method == STORED:
             return packed
-        if entry.method != DEFLATED or entry.size > MAX_ENTRY:
+        if entry.method != DEFLATED:
             return None
         try:
             inflater = zlib.decompressobj(-15)
             out = inflater.decompress(packed, min(MAX_ENTRY, entry.size or MAX_ENTRY))
         except zlib.error:
             return None
+        if entry.size > MAX_ENTRY or len(out) == MAX_ENTRY and inflater.unconsumed_tail:
+            raise BadPackage(f"{path} inflates beyond {MAX_ENTRY} bytes")
         return out if not entry.size or len(out) == entry.size else None
 
 

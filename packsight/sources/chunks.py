@@ -208,7 +208,9 @@ class ResourceTable:
         size, flags, _ = struct.unpack_from("<HHI", self.data, at)
         if flags & 1:
             n, = struct.unpack_from("<I", self.data, at + 12)
-            places = [at + size + 12 * i + 4 for i in range(min(n, 1 << 16))]
+            if at + size + 12 * n > len(self.data):
+                raise BadPackage("a complex entry runs over the end of the table")
+            places = range(at + size + 4, at + size + 4 + 12 * n, 12)
         else:
             places = [at + size]
         for place in places:

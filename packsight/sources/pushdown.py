@@ -23,14 +23,15 @@ class File(InputPartition):
 
 
 class PackageEntries(DataSource):
-    """Entries of the packages in a folder that driver and executors can both open (a mounted store)."""
+    """Entries of the packages in a folder that driver and executors can both open (a mounted store). A package that cannot
+    be read has one row with an error, unless a filter on its path was pushed down: it has no paths."""
 
     @classmethod
     def name(cls) -> str:
         return "package_entries"
 
     def schema(self) -> str:
-        return "container_id string, cd_index int, path string, method int, csize long, usize long, lho long"
+        return "container_id string, cd_index int, path string, method int, csize long, usize long, lho long, error string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return EntriesReader(self.options["path"].removeprefix("file:"))
@@ -62,8 +63,10 @@ class EntriesReader(DataSourceReader):
             data = f.read()
         try:
             listed = open_package(data).listed
-        except BadPackage:
+        except BadPackage as e:
+            if not self.prefixes and not self.exact:
+                yield partition.path, *[None] * 6, str(e)
             return
         for e in listed:
             if all(e.path.startswith(p) for p in self.prefixes) and all(e.path == p for p in self.exact):
-                yield partition.path, e.index, e.path, e.method, e.packed, e.size, e.offset
+                yield partition.path, e.index, e.path, e.method, e.packed, e.size, e.offset, None

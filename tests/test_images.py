@@ -90,3 +90,48 @@ def test_circle_mask_is_pure_and_symmetric(size):
     before = raster.filled(size, size, -1)
     out = raster.circle_mask(before)
     assert (before == 255).all() and (out == out[::-1]).all() and (out == out.transpose(1, 0, 2)).all()
+
+
+def filtered(want, kinds):
+    """Raw image data of a bitmap with the rows' filters taken in turn."""
+    height, width, step = want.shape
+    padded = np.zeros((height + 1, (width + 1) * step), dtype=int)
+    padded[1:, step:] = want.reshape(height, -1)
+    raw = b""
+    for y in range(1, height + 1):
+        a, b, c = padded[y, :-step], padded[y - 1, step:], padded[y - 1, :-step]
+        p = a + b - c
+        near = np.where((abs(p - a) <= abs(p - b)) & (abs(p - a) <= abs(p - c)), a, np.where(abs(p - b) <= abs(p - c), b, c))
+        kind = kinds[y % len(kinds)]
+        raw += bytes([kind]) + bytes(((padded[y, step:] - (0 * a, a, b, (a + b) >> 1, near)[kind]) & 255).tolist())
+    return raw
+
+
+@pytest.mark.parametrize("kinds", [[4], [3], [4, 0, 2, 3, 1], [0, 4, 4, 0, 0]])
+@pytest.mark.parametrize("band", [512, 7])
+def test_sweeps_by_diagonals(monkeypatch, kinds, band):
+    monkeypatch.setattr(images, "BAND", band)
+    want = np.random.default_rng(1).integers(0, 256, (41, 23, 4), dtype=np.uint8)
+    assert (images.decode_png(png(23, 41, 6, 8, filtered(want, kinds))) == want).all()
+    grey = want[..., :1]
+    assert (images.decode_png(png(23, 41, 0, 8, filtered(grey, kinds)))[..., 0] == grey[..., 0]).all()
+
+
+def test_paeth_round_trip():
+    want = np.random.default_rng(2).integers(0, 256, (30, 19, 4), dtype=np.uint8)
+    assert (images.decode(images.encode_png(want, paeth=True)) == want).all()
+
+
+def test_unknown_filters_are_refused_wherever_they_are():
+    want = np.zeros((3, 3, 4), dtype=np.uint8)
+    for kinds in ([5], [4, 5, 4]):
+        raw = bytearray(filtered(want, [4]))
+        for y, k in enumerate(kinds):
+            raw[y * 13] = k
+        assert images.decode(png(3, 3, 6, 8, bytes(raw))) is None
+
+
+def test_jpeg_colours_come_by_whole_numbers():
+    grey = np.full((8, 8, 4), 255, dtype=np.uint8)
+    grey[..., :3] = (200, 40, 90)
+    assert np.abs(images.decode(images.encode_jpeg(grey, 1)).astype(int) - grey).max() <= 2

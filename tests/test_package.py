@@ -1,5 +1,6 @@
 import pytest
 
+from packsight.functions import images, raster, vector
 from packsight.functions.images import encode_png
 from packsight.functions.raster import filled
 from packsight.operators.package import IconOptions, Package, Recording, render
@@ -116,3 +117,36 @@ def test_gradient_fills():
     }
     out = render(Package(packed(files, {"icon": "@drawable/v"}, {0x7F050000: [Value("path", text="res/drawable/g.xml")]})).record(), 32, mask="none")
     assert out[0, 0, 0] < 16 and out[0, 31, 0] > 240
+
+
+def test_recordings_are_written_and_read_without_pickle():
+    for number in range(5):
+        found = Package(package(number)).record()
+        packed = found.pack()
+        back = Recording.unpack(packed)
+        assert packed[:4] == b"PKR1" and (back.icon_ref, back.source_path, back.tier) == (found.icon_ref, found.source_path, found.tier)
+        assert (render(back, 48) == render(found, 48)).all() and back.pack() == packed
+    with pytest.raises(ValueError, match="version"):
+        Recording.unpack(b"\x80\x05pickle")
+
+
+def test_every_kind_of_layer_is_kept():
+    stops = ((0.0, -1), (1.0, -16777216))
+    square = [("M", 0.0, 0.0), ("L", 5.0, 0.0), ("L", 5.0, 5.0), ("Z",)]
+    paints = [vector.Solid(-65536), vector.Linear((0.0, 0.0), (9.0, 9.0), stops), vector.Radial((5.0, 5.0), 4.0, stops), None]
+    drawing = vector.Drawing([vector.Path(square, p, 0.5, True, -1, 2.0, 0.25) for p in paints], 10.0, 10.0, 0.75)
+    found = Recording("@x", "res/x.xml", "manifest", background=[-256, drawing, Recording(None, None, bitmap=raster.filled(2, 3, -1)), None], foreground=drawing)
+    back = Recording.unpack(found.pack())
+    assert back.foreground == drawing and back.background[:2] == [-256, drawing] and (back.background[2].bitmap == raster.filled(2, 3, -1)).all()
+
+
+def test_names_inside_drawables_mean_pictures_first():
+    red, blue = -65536, -16776961
+    art = element("vector", element("path", pathData="M0,0h24v24h-24z", fillColor="#ff0000ff"), viewportWidth="24", viewportHeight="24")
+    icon = element("layer-list", element("item", drawable="@drawable/a"))
+    manifest = element("manifest", element("application", icon="@drawable/icon"), package="p")
+    members = [(MANIFEST, write_xml(manifest), 8), ("res/drawable/icon.xml", write_xml(icon), 8), ("res/drawable/a.xml", write_xml(art), 8), ("res/drawable/a.png", images.encode_png(raster.filled(4, 4, red)), 0)]
+    shown = raster.uniform(render(Package(write_archive(members)).record(), 16, mask="none"))
+    assert shown == red
+    alone = raster.uniform(render(Package(write_archive(members[:3])).record(), 16, mask="none"))
+    assert alone == blue

@@ -143,3 +143,93 @@ def test_calls_by_path_bytes_and_table(spark, tmp_path):
 def test_labels_by_tables_and_on_the_spot_agree(packages):
     by_tables = metadata.metadata_of(tables.manifest_rows(packages), tables.entries(packages), metadata.texts_of(tables.res_values(packages)))
     assert sorted(map(str, by_tables.collect())) == sorted(map(str, metadata.metadata(packages).collect()))
+
+
+def test_order_statistics_of_one_large_group(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ACCURACY", 1000)
+    n = 200_000
+    df = spark.range(n).select(F.lit(None).cast("string").alias("g"), ((F.col("id") * 7919) % n).cast("double").alias("v")).unionByName(spark.createDataFrame([("few", 3.0), ("few", 1.0), ("few", None), ("none", None)], "g string, v double"))
+    for p in (0.0, 0.001, 0.5, 0.95, 1.0):
+        got = {r.g: r.v for r in ranking.order_statistic(df, "g", "v", p).collect()}
+        assert got == {None: float(int((n - 1) * p)), "few": 3.0 if p == 1 else 1.0}
+
+
+def test_metadata_by_one_pass_and_by_tables_agree(spark):
+    odd = element("manifest", element("uses-sdk", minSdkVersion="x", targetSdkVersion="21"), element("application", label="@0x7f010000", icon=" "), element("activity-alias", icon="@a/b", enabled="false"), package=" p ", versionCode="-3")
+    df = tables.containers_of(spark, corpus(25) + BAD + [("odd", write_archive([(MANIFEST, write_xml(odd), 8)]))])
+    by_tables = metadata.metadata_of(tables.manifest_rows(df), tables.entries(df), metadata.texts_of(tables.res_values(df)))
+    key = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+    assert key(metadata.metadata(df).collect()) == key(by_tables.collect())
+    plan = metadata.metadata(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    plan = icons.preview(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def test_whatever_a_parser_raises_is_a_row(spark, monkeypatch):
+    def broken(data):
+        yield 1 / 0
+
+    rows = tables.flat_map(tables.containers_of(spark, corpus(2)), broken, "container_id string, x int").collect()
+    assert [r.error.startswith("ZeroDivisionError") for r in rows] == [True, True]
+
+
+def test_unreadable_packages_have_a_row_in_the_data_source(spark, tmp_path):
+    (tmp_path / "good.apk").write_bytes(package(1))
+    (tmp_path / "bad.apk").write_bytes(b"no archive")
+    spark.dataSource.register(PackageEntries)
+    df = spark.read.format("package_entries").load(str(tmp_path))
+    assert [r.container_id.endswith("bad.apk") for r in df.where("error IS NOT NULL").collect()] == [True]
+    assert df.where(f"path = '{MANIFEST}'").count() == 1
+
+
+def test_icons_as_files(spark, tmp_path, capsys):
+    from packsight.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    for name, data in corpus(3):
+        (tmp_path / "in" / name).write_bytes(data)
+    main(["dump", str(tmp_path / "in"), "--size", "24", "--out", str(tmp_path / "out")])
+    assert len(list((tmp_path / "out" / "adaptive").glob("*.png"))) == 3 and len(list((tmp_path / "out" / "raster").glob("*.png"))) == 3
+    assert "6 icons" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["dump", str(tmp_path / "in")])
+
+
+def test_stage_report_as_text(spark):
+    text = icons.report_text(icons.stage_report(spark.createDataFrame([("a", 1.0), ("b", 3.0)], "stage string, ms double")))
+    assert [line.split()[0] for line in text.split("\n")] == ["stage", "b", "a"] and "75.0%" in text
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    from packsight import session
+
+    class Conf:
+        get = staticmethod(lambda name, default=None: default)
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = spark.sparkContext._jsc
+
+    class Cluster:
+        conf, sparkContext = Conf, Context
+
+    class Nothing:
+        isDefined = staticmethod(lambda: False)
+
+    monkeypatch.setattr(Context, "_jsc", type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: Nothing)}))}))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        session.shared_dir(Cluster)
+
+
+def test_scratch_tables_can_be_removed(spark):
+    import os
+
+    from packsight import session
+
+    scratch = session.Scratch(spark, "t")
+    assert scratch.keep(spark.range(5), "x").count() == 5
+    root = scratch.root.removeprefix("file://")
+    assert os.path.isdir(root)
+    session.clean(spark)
+    assert not os.path.exists(root)

@@ -70,3 +70,39 @@ def test_colours(text, want):
 @pytest.mark.parametrize(("text", "want"), [("24dp", 24.0), ("0x41c00000", 24.0), (" 1.5 ", 1.5), ("50%", 50.0), ("x", None), (None, None)])
 def test_numbers(text, want):
     assert vector.number(text) == want
+
+
+def test_coverage_is_exact_for_slanted_edges():
+    got = vector.coverage(vector.edges(vector.parse_path("M1.2,1.1L30.7,5.3L10.4,35.9z")), 40, 40, False)
+    assert got.sum() == pytest.approx(abs(29.5 * 34.8 - 9.2 * 4.2) / 2, abs=1e-9) and got.min() >= 0 and got.max() <= 1
+
+
+def test_too_many_parts_are_sampled(monkeypatch):
+    lines = vector.edges(vector.parse_path("M1,1L30,5L10,35z"))
+    exact = vector.coverage(lines, 40, 40, False)
+    monkeypatch.setattr(vector, "MAX_PARTS", 3)
+    assert abs(vector.coverage(lines, 40, 40, False) - exact).max() < 0.15
+
+
+def rim(under, argb, paint=None):
+    """The pixel that a shape covers by half."""
+    box = vector.parse_path("M0.5,0h1v1h-1z")
+    return vector.draw(filled(2, 1, under), vector.Drawing([vector.Path(box, paint or vector.Solid(argb))], 2.0, 1.0))[0, 0].tolist()
+
+
+def test_rims_are_mixed_by_light_or_as_written():
+    white, black = -1, -16777216
+    assert rim(black, white) == pytest.approx([180, 180, 180, 255], abs=1)  # sqrt(1/2) of 255
+    both = ((0.0, white), (1.0, white))
+    assert rim(black, 0, vector.Linear((0, 0), (2, 0), both)) == pytest.approx([128, 128, 128, 255], abs=1)
+    assert rim(0, white) == pytest.approx([255, 255, 255, 128], abs=1)
+
+
+def test_large_canvases_flatten_with_larger_tolerance(monkeypatch):
+    seen = []
+    real = vector.edges
+    monkeypatch.setattr(vector, "edges", lambda c, t=0.25: seen.append(t) or real(c, t))
+    drawing = vector.Drawing([vector.Path(vector.parse_path(SQUARE), vector.Solid(-1))], 108, 108)
+    for size in (767, 768, 1536):
+        vector.rasterise(drawing, size)
+    assert seen == [0.25, 0.35, 0.45]
