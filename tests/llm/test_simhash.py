@@ -138,3 +138,11 @@ def test_each_component_keeps_one_where_ids_are_reused(spark):
     assert kept((3, "b"), (5, "z"), (5, "b")) == [(3, "b"), (5, "z")]
     assert kept((5, "b"), (5, "z"), (5, "z"), (5, "Z"), (7, "z"), (8, "lone")) == [(5, "Z"), (5, "b"), (8, "lone")]
     assert kept((5, None), (5, "z"), (6, ""), (4, "z"), (None, "z"), (None, "no id")) == [(-1, "no id"), (4, "z"), (5, "")]
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 977}x{i}" for i in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, long.upper()), (4, "short")]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[3] and got[2][1] == 1 and got[4][1] == 4
+    assert int(got[1][0], 16) == naive_fingerprint(long)
