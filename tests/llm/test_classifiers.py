@@ -279,3 +279,10 @@ def test_quality_query_against_brute_force(spark, data):
             x = counted(r.text)
             assert quality.statistics(r.text) == pytest.approx(x, abs=1e-12)
             assert r.score == pytest.approx(walked(quality.statistics(r.text)), abs=1e-9)
+
+
+def test_language_of_very_long_texts(spark, data):
+    docs, _ = data
+    long = [(i, " ".join([r.text] * (3_000_000 // max(1, len(r.text)))), r.lang) for i, r in enumerate(docs.where("length(text) > 2000").limit(4).collect())]
+    got = {r.doc_id: r.lang_pred for r in identify(spark.createDataFrame(long, "doc_id long, text string, lang string"), langid.learn(docs)).collect()}
+    assert got == {i: lang for i, _, lang in long}
