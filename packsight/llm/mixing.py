@@ -56,7 +56,8 @@ def distribution(rate: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default: float = DEFAULT_WEIGHT, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
-    """The documents' columns with each row repeated by its draw, then copy (int, from 1) and shuffle_key, in its order.
+    """The documents' columns with each row repeated by its draw, then copy (int, from 1) and shuffle_key, in its order
+    from partition to partition and in each.
 
     A null or empty text has no characters to mix and a draw like any other of its source; a source without characters
     at all is left out (rate 0). A null source is a source of its own; null ids and texts hash as empty. Repeated rows
@@ -86,7 +87,11 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default
     drawn = first.withColumn("__mix_n", F.when(F.col("__mix_parts") > 1, rest).otherwise(F.col("__mix_n"))).where("__mix_n > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", "__mix_key", F.lit("copy"), F.col("copy").cast("string"))))
-    return keyed.select(*taken, "copy", "shuffle_key").orderBy("shuffle_key")
+    # keys are spread evenly, so their leading 32 bits deal the rows out in order: no sampling pass that draws everything twice
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = (F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * F.lit(partitions) / F.lit(1 << 32)).cast("int")
+    dealt = keyed.select(*taken, "copy", "shuffle_key").repartitionById(partitions, place)
+    return dealt.sortWithinPartitions("shuffle_key")
 
 
 #: The query's rows in DuckDB's SQL, with the parameters above.

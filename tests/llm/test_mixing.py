@@ -78,3 +78,9 @@ def test_nulls_ties_empty_and_clashing_columns(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix_sources(make(spark, 10))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "CartesianProduct"))
+
+
+def test_very_long_texts(spark):
+    rows = [(i, f"{i} " * 400_000, "en", f"src{i % 2}", 0) for i in range(4)]
+    out = mixing.mix_sources(docs(spark, rows), {}, 1.0, 3.0).select("doc_id", F.length("text").alias("n")).collect()
+    assert out and {r.n for r in out} == {800_000}
