@@ -13,7 +13,7 @@ from packsight.functions import images, raster, vector
 from packsight.functions.columns import image_kind, resource_id
 from packsight.operators import icons, metadata, ranking, tables
 from packsight.operators.package import IconOptions
-from packsight.plans.registry import mapped, query, t
+from packsight.plans.registry import mapped, query, spread, t
 from packsight.sources.archive import STORED, write_archive
 from packsight.sources.chunks import write_xml
 from packsight.sources.samples import element
@@ -21,7 +21,7 @@ from packsight.sources.synthetic import packages, shop
 
 
 def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages(t(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment"), shop, "c_custkey")
+    return packages(spread(t(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")), shop, "c_custkey")
 
 
 def key() -> Column:
@@ -264,7 +264,7 @@ def bundle(supplier: int, nation: int) -> bytes:
 )
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bundles stand for their base package; what cannot be read gives a row with an error and stops nothing."""
-    df = packages(t(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"), bundle, "s_suppkey")
+    df = packages(spread(t(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")), bundle, "s_suppkey")
     read = tables.base_members(df).select("container_id", F.col("error").isNotNull().alias("broken"))
     found = metadata.metadata(df).select("container_id", "package_name")
     return read.join(found, "container_id", "left").select(F.col("container_id").cast("long").alias("s_suppkey"), F.coalesce("package_name", F.lit("-")).alias("package_name"), "broken")
@@ -291,7 +291,7 @@ def _pictures(part: int, size: int) -> tuple:
 def image_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures written and read back: PNG as it was, JPEG within 12 of each channel."""
     schema = "p_partkey long, png binary, jpeg binary, height int, width int, argb long, png_same boolean, jpeg_near boolean, checksum boolean"
-    found = mapped(t(spark, sf_dir, "part", "p_partkey", "p_size"), _pictures, schema)
+    found = mapped(spread(t(spark, sf_dir, "part", "p_partkey", "p_size")), _pictures, schema)
     return found.select("p_partkey", image_kind(F.col("png")).alias("png_kind"), image_kind(F.col("jpeg")).alias("jpeg_kind"), "height", "width", "argb", "png_same", "jpeg_near", "checksum")
 
 
@@ -313,7 +313,7 @@ def _layers(order: int, customer: int) -> tuple:
 def bitmap_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bitmap laid on another, one with its alpha scaled, one resized, one masked."""
     schema = "o_orderkey long, alpha int, red int, rim_alpha int, rim_red int, half int, resized long, corner int, centre int"
-    return mapped(t(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), _layers, schema)
+    return mapped(spread(t(spark, sf_dir, "orders", "o_orderkey", "o_custkey")), _layers, schema)
 
 
 def _shape(part: int, size: int) -> tuple:
@@ -338,7 +338,7 @@ def _shape(part: int, size: int) -> tuple:
 def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path text in three spellings, filled: covered pixels of a rectangle, and a disc of arcs within five per cent."""
     schema = "p_partkey long, commands int, area int, width int, x int, y int, twice int, disc boolean"
-    return mapped(t(spark, sf_dir, "part", "p_partkey", "p_size"), _shape, schema)
+    return mapped(spread(t(spark, sf_dir, "part", "p_partkey", "p_size")), _shape, schema)
 
 
 def _written(part: int, size: int, price: float) -> tuple:
@@ -356,7 +356,7 @@ def _written(part: int, size: int, price: float) -> tuple:
 def written_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours and numbers in the spellings of drawable files."""
     schema = "p_partkey long, argb long, short_argb long, bare_argb long, measure double, bits double, refused boolean"
-    return mapped(t(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice"), _written, schema)
+    return mapped(spread(t(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")), _written, schema)
 
 
 @query("q_resource_ids", "SELECT o_orderkey, ((id // 16777216) % 256)::INTEGER AS package, ((id // 65536) % 256)::INTEGER AS type, (id % 65536)::INTEGER AS entry FROM (SELECT o_orderkey, o_orderkey * 2654435761 % 4294967296 AS id FROM orders)")

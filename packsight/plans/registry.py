@@ -31,6 +31,11 @@ def t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly: few bytes say what much work is to be done, so a scan's partitions are too few for it."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def mapped(df: DataFrame, run: Callable[..., tuple], schema: str) -> DataFrame:
     """A row for each row: ``run`` gets its values and gives those of ``schema``, in Arrow batches and without a shuffle."""
     ship(df.sparkSession)
