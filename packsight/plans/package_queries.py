@@ -135,8 +135,8 @@ def resource_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT k, 2130837505, unnest(['{SCAN}', '{XXHDPI}', '{MDPI}']), 1 FROM c""",
 )
 def resource_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of every resource, references followed."""
-    found = metadata.resolve_references(tables.res_values(shops(spark, sf_dir))).where("str IS NOT NULL")
+    """Texts of every resource, references followed. Each step joins the values again, so they are read from the blobs once."""
+    found = metadata.resolve_references(tables.res_values(shops(spark, sf_dir)).persist()).where("str IS NOT NULL")
     return found.select(key(), F.col("root").alias("res_id"), "str", (F.size("route") - 1).alias("steps"))
 
 
@@ -174,7 +174,7 @@ def metadata_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from the tables of attributes, entries and resource values."""
     df = shops(spark, sf_dir)
-    return flat_metadata(metadata.metadata_of(tables.manifest_rows(df), tables.entries(df), metadata.texts_of(tables.res_values(df))))
+    return flat_metadata(metadata.metadata_of(tables.manifest_rows(df), tables.entries(df), metadata.texts_of(tables.res_values(df).persist())))
 
 
 @query(
