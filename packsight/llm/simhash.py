@@ -141,13 +141,14 @@ def _homes(distinct: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """Distinct fingerprints (fp) -> links (u, v) that connect whatever is within 2 bits, maybe over others."""
+    # Spark sizes both by the file of distinct, not by their 61 rows a fingerprint, and would broadcast them
     visits = distinct.mapInArrow(_visits, "anchor long, fp long, home boolean").select("anchor", "fp")
     homes = _homes(distinct)
     count = homes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    cold = homes.join(count.where(F.col("n") <= HOT_HOMES), "anchor").select("anchor", F.col("fp").alias("mate"))
+    cold = homes.join(count.where(F.col("n") <= HOT_HOMES).hint("merge"), "anchor").select("anchor", F.col("fp").alias("mate"))
     hot = count.where(F.col("n") > HOT_HOMES).select("anchor", F.lit(None).cast("long").alias("mate"))
     near = F.col("mate").isNull() | ((F.col("fp") < F.col("mate")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("mate"))) <= THRESHOLD))
-    met = scratch.keep(visits.join(cold.union(hot), "anchor").where(near).select("fp", "mate"), "met")
+    met = scratch.keep(visits.join(cold.union(hot).hint("merge"), "anchor").where(near).select("fp", "mate"), "met")
     pairs = met.where("mate IS NOT NULL").select(F.col("fp").alias("u"), F.col("mate").alias("v"))
     points = F.explode(F.expr("transform(sequence(0, 64), i -> if(i = 64, fp, fp ^ shiftleft(1L, i)))"))
     crowd = met.where("mate IS NULL").select("fp").distinct().select("fp", points.alias("point"))

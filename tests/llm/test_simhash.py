@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from packsight.llm import simhash
 from packsight.llm.components import connected_components
 from packsight.llm.simhash import anchors, drop_near_duplicates, fingerprint, golay, query, simhash_components
@@ -105,6 +106,25 @@ def test_chains_of_single_bits_are_one_component(spark):
     assert {r.root for r in connected_components(edges).collect()} == {0}
 
 
+def planned(df):
+    """What Spark plans before it has run anything."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_near_dedup_stage_broadcasts_no_visits(spark, monkeypatch):
+    """Spark takes their size from a file that has one row where they have 61."""
+    plans, keep = {}, simhash.Scratch.keep
+
+    def noted(self, df, name):
+        plans[name] = planned(df)
+        return keep(self, df, name)
+
+    monkeypatch.setattr(simhash.Scratch, "keep", noted)
+    docs = spark.createDataFrame(list(enumerate(near_copies(30))), "doc_id long, text string")
+    assert 0 < dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").count() < 30
+    assert plans["met"].count("SortMergeJoin") == 2 and "Broadcast" not in plans["met"]
+
+
 def test_connected_components_against_union_find(spark):
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
