@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from packsight.session import shared_dir
 
+#: Edges beyond which rounds join by sorting: what Spark takes for their size can be too small, and it would broadcast them.
+FEW_EDGES = 1 << 18
+
 
 def _size(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -25,7 +28,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where("v > u").join(low if seen[0] <= FEW_EDGES else low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = small.where("u != v").distinct().checkpoint()

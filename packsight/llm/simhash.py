@@ -167,10 +167,11 @@ def _members(docs: DataFrame) -> DataFrame:
     distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(links(distinct.select("fp"), scratch)).select(F.col("node").alias("fp"), "root")
     scratch.drop("met")  # the components are checkpointed
-    member = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    # joined by sorting: Spark would take what to broadcast from file sizes, and copies are packed many times over
+    member = distinct.join(roots.hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     first = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = member.join(first, "root").select("fp", "root", "component_id")
-    return prints.join(component, "fp").select("doc_id", "fp", "root", "component_id")
+    component = member.join(first.hint("merge"), "root").select("fp", "root", "component_id")
+    return prints.join(component.hint("merge"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:

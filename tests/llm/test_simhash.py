@@ -125,6 +125,21 @@ def test_the_near_dedup_stage_broadcasts_no_visits(spark, monkeypatch):
     assert plans["met"].count("SortMergeJoin") == 2 and "Broadcast" not in plans["met"]
 
 
+def test_op10_broadcasts_no_fingerprints(spark):
+    docs = spark.createDataFrame(list(enumerate(near_copies(30))), "doc_id long, text string")
+    found = planned(query(docs))
+    assert found.count("SortMergeJoin") >= 3 and "Broadcast" not in found
+
+
+def test_many_edges_that_spark_takes_for_few_are_not_broadcast(spark, monkeypatch):
+    frame = type(spark.range(0))
+    rounds, checkpoint = [], frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a: (rounds.append(planned(self)), checkpoint(self, *a))[1])
+    star = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(300_000))).alias("u"), F.lit(0).alias("v"))
+    assert connected_components(star.select(F.col("u").cast("long"), F.col("v").cast("long"))).agg(F.count("node"), F.max("root")).first() == (300_001, 0)
+    assert all("SortMergeJoin" in p for p in rounds[1:])
+
+
 def test_connected_components_against_union_find(spark):
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
