@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packsight.operators.rules import adaptive_score_col, density_distance_col, is_adaptive_candidate_col, is_raster_candidate_col
+from packsight.operators.tables import by_sorting
 
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -53,10 +54,10 @@ def by_name(refs: DataFrame, entries: DataFrame) -> DataFrame:
     widened = F.when(F.col("res_type").isin("drawable", "mipmap"), F.array(F.lit("drawable"), F.lit("mipmap"))).otherwise(F.array("res_type"))
     asked = refs.where("res_type != 'color'").select("container_id", "res_name", F.col("res_type").alias("asked"), F.explode(widened).alias("res_type"))
     paths = resource_paths(entries).select("container_id", "path", "usize", "cd_index", "res_type", "res_name", "ending", "long_form")
-    full = asked.join(paths.where("long_form"), ["container_id", "res_type", "res_name"]).select("container_id", "asked", "res_name", "path", "usize", "cd_index", "ending")
-    rest = asked.select("container_id", "asked", "res_name").distinct().join(full, ["container_id", "asked", "res_name"], "left_anti")
+    full = asked.join(by_sorting(paths.where("long_form")), ["container_id", "res_type", "res_name"]).select("container_id", "asked", "res_name", "path", "usize", "cd_index", "ending")
+    rest = asked.select("container_id", "asked", "res_name").distinct().join(by_sorting(full), ["container_id", "asked", "res_name"], "left_anti")
     lower = paths.where("NOT long_form").withColumn("key", F.lower("res_name")).drop("res_name", "res_type", "long_form")
-    short = rest.withColumn("key", F.lower("res_name")).join(lower, ["container_id", "key"]).select("container_id", "asked", "res_name", "path", "usize", "cd_index", "ending")
+    short = rest.withColumn("key", F.lower("res_name")).join(by_sorting(lower), ["container_id", "key"]).select("container_id", "asked", "res_name", "path", "usize", "cd_index", "ending")
     return full.unionByName(short)
 
 

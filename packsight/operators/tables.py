@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -157,20 +157,27 @@ def res_values(df: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return flat_map(df, rows, VALUES, mode)
 
 
-def last_duplicates(entries_df: DataFrame) -> DataFrame:
-    """One row per path of a container: the last in its directory."""
+def by_sorting(df: DataFrame) -> DataFrame:
+    """One side of a join of tables that Python made, which must not be broadcast: Spark guesses their size from the few bytes
+    of the table that they were made from, so every driver would get one that is too large for it."""
+    return df.hint("merge")
+
+
+def last_duplicates(entries_df: DataFrame, *more: Column) -> DataFrame:
+    """One row per path of a container: the last in its directory. more: aggregates of all entries with that path."""
     good = entries_df.where("error IS NULL").drop("error")
     names = good.columns
-    return good.groupBy("container_id", "path").agg(F.max_by(F.struct(*names), "cd_index").alias("e")).select(*[f"e.{n}" for n in names])
+    last = good.groupBy("container_id", "path").agg(F.max_by(F.struct(*names), "cd_index").alias("e"), *more)
+    return last.select(*[f"e.{n}" for n in names], *last.columns[3:])
 
 
 def existing(paths: DataFrame, entries_df: DataFrame) -> DataFrame:
     """Rows (container_id, path) whose path is an entry of the container."""
-    return paths.join(entries_df, ["container_id", "path"], "left_semi")
+    return paths.join(by_sorting(entries_df), ["container_id", "path"], "left_semi")
 
 
 def missing(paths: DataFrame, entries_df: DataFrame) -> DataFrame:
-    return paths.join(entries_df, ["container_id", "path"], "left_anti")
+    return paths.join(by_sorting(entries_df), ["container_id", "path"], "left_anti")
 
 
 def base_members(df: DataFrame) -> DataFrame:

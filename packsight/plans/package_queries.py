@@ -61,9 +61,8 @@ def package_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_package_paths", f"WITH {C}, e AS ({_entries_sql()}) SELECT k AS c_custkey, path, max(place)::INTEGER AS cd_index, count(*) > 1 AS twice FROM e GROUP BY ALL")
 def package_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of entries with one path the last counts."""
-    found = tables.entries(shops(spark, sf_dir))
-    count = found.groupBy("container_id", "path").agg((F.count(F.lit(1)) > 1).alias("twice"))
-    return tables.last_duplicates(found).join(count, ["container_id", "path"]).select(key(), "path", "cd_index", "twice")
+    found = tables.last_duplicates(tables.entries(shops(spark, sf_dir)), (F.count(F.lit(1)) > 1).alias("twice"))
+    return found.select(key(), "path", "cd_index", "twice")
 
 
 NODES = """
@@ -267,7 +266,7 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = packages(spread(t(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")), bundle, "s_suppkey")
     read = tables.base_members(df).select("container_id", F.col("error").isNotNull().alias("broken"))
     found = metadata.metadata(df).select("container_id", "package_name")
-    return read.join(found, "container_id", "left").select(F.col("container_id").cast("long").alias("s_suppkey"), F.coalesce("package_name", F.lit("-")).alias("package_name"), "broken")
+    return read.join(tables.by_sorting(found), "container_id", "left").select(F.col("container_id").cast("long").alias("s_suppkey"), F.coalesce("package_name", F.lit("-")).alias("package_name"), "broken")
 
 
 # --- images, drawings and values, one per row of a table ---

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from packsight.operators import icons, metadata, ranking, tables
 from packsight.operators.package import IconOptions, Package
+from packsight.plans import queries as relational
 from packsight.sources.archive import MANIFEST, write_archive
 from packsight.sources.chunks import write_xml
 from packsight.sources.pushdown import PackageEntries
@@ -95,6 +96,20 @@ def test_icons_inspection_preview_and_session(packages):
     session.close()
 
 
+@pytest.mark.parametrize("name", ["q_package_paths", "q_bundles"])
+def test_tables_that_python_made_are_not_broadcast(spark, name):
+    """Spark takes their size from the table that they are made from: 900,000 customers are 4 MB, their entries are not."""
+    df = relational.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_last_duplicates_with_counts(spark):
+    df = tables.entries(tables.containers_of(spark, [("a", write_archive([(MANIFEST, b"", 0), ("x", b"1", 0), ("x", b"345", 0)])), *BAD]))
+    got = tables.last_duplicates(df, F.count(F.lit(1)).alias("n")).collect()
+    assert {(r.container_id, r.path, r.cd_index, r.usize, r.n) for r in got} == {("a", MANIFEST, 0, 0, 1), ("a", "x", 2, 3, 2)}
+    assert tables.last_duplicates(df).columns == df.columns[:-1]
+
+
 def test_stage_report(spark):
     row = icons.stage_report(spark.createDataFrame([("a", float(i)) for i in range(10)], "stage string, ms double")).first()
     assert (row.n, row.total_ms, row.p50_ms, row.p95_ms, row.max_ms) == (10, 45.0, 4.0, 8.0, 9.0)
