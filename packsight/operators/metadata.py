@@ -105,7 +105,7 @@ def resolve_references(values: DataFrame, depth: int = 6) -> DataFrame:
     out = step.where("kind != 'reference'").select("container_id", "root", "kind", "str", "argb", "route")
     for _ in range(depth):
         onward = step.where("kind = 'reference' AND NOT array_contains(seen, ref_id)").select("container_id", "root", "seen", "route", F.col("ref_id").alias("res_id"))
-        step = onward.join(good, ["container_id", "res_id"]).select(
+        step = onward.join(tables.by_sorting(good), ["container_id", "res_id"]).select(
             "container_id", "root", F.array_append("seen", F.col("res_id")).alias("seen"), F.array_append("route", F.col("at")).alias("route"), "kind", "str", "argb", "ref_id"
         )
         out = out.unionByName(step.where("kind != 'reference'").select("container_id", "root", "kind", "str", "argb", "route"))
