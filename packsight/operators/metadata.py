@@ -163,7 +163,7 @@ def metadata_of(manifest: DataFrame, entries: DataFrame, texts: DataFrame) -> Da
     one = one.withColumn("res_id", F.when(unsigned >= 1 << 31, unsigned - (1 << 32)).otherwise(unsigned).cast("int"))
     texts = texts.where("trim(str) != ''").select("container_id", "res_id", F.col("str").alias("resolved"))
     min_sdk = F.coalesce("min1", "min2")
-    return one.join(architectures_of(entries), "container_id", "left").join(texts, ["container_id", "res_id"], "left").select(
+    return one.join(tables.by_sorting(architectures_of(entries)), "container_id", "left").join(tables.by_sorting(texts), ["container_id", "res_id"], "left").select(
         "container_id", "package_name", F.when(F.col("label").startswith("@"), F.col("resolved")).otherwise(F.col("label")).alias("application_label"),
         F.greatest(F.coalesce("code", F.lit(1)), F.lit(1)).alias("version_code"), "version_name", min_sdk.alias("min_sdk"),
         F.coalesce("target1", "target2", min_sdk).alias("target_sdk"), F.coalesce("architectures", F.array().cast("array<string>")).alias("architectures"),

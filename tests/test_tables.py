@@ -96,7 +96,7 @@ def test_icons_inspection_preview_and_session(packages):
     session.close()
 
 
-@pytest.mark.parametrize("name", ["q_package_paths", "q_resource_references", "q_bundles"])
+@pytest.mark.parametrize("name", ["q_package_paths", "q_resource_references", "q_metadata_tables", "q_bundles"])
 def test_tables_that_python_made_are_not_broadcast(spark, name):
     """Spark takes their size from the table that they are made from: 900,000 customers are 4 MB, their entries are not."""
     df = relational.queries()[name](spark, "/root/testdata/sf0.001")
