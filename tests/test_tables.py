@@ -104,9 +104,9 @@ def test_tables_that_python_made_are_not_broadcast(spark, name):
 
 
 def test_last_duplicates_with_counts(spark):
-    df = tables.entries(tables.containers_of(spark, [("a", write_archive([(MANIFEST, b"", 0), ("x", b"1", 0), ("x", b"345", 0)])), *BAD]))
+    df = tables.entries(tables.containers_of(spark, [("a", write_archive([(MANIFEST, b"", 0), ("res/x.png", b"1", 0), ("res/x.png", b"345", 0)])), *BAD]))
     got = tables.last_duplicates(df, F.count(F.lit(1)).alias("n")).collect()
-    assert {(r.container_id, r.path, r.cd_index, r.usize, r.n) for r in got} == {("a", MANIFEST, 0, 0, 1), ("a", "x", 2, 3, 2)}
+    assert {(r.container_id, r.path, r.cd_index, r.usize, r.n) for r in got} == {("a", MANIFEST, 0, 0, 1), ("a", "res/x.png", 2, 3, 2)}
     assert tables.last_duplicates(df).columns == df.columns[:-1]
 
 
