@@ -135,3 +135,12 @@ def test_jpeg_colours_come_by_whole_numbers():
     grey = np.full((8, 8, 4), 255, dtype=np.uint8)
     grey[..., :3] = (200, 40, 90)
     assert np.abs(images.decode(images.encode_jpeg(grey, 1)).astype(int) - grey).max() <= 2
+
+
+def test_a_huffman_table_is_built_once_for_all_files_that_have_it():
+    jpegs = [images.encode_jpeg(np.full((9, 5, 4), v, dtype=np.uint8)) for v in (10, 200, 90)]
+    before = images._huffman.cache_info()
+    assert all(images.decode(j).shape == (9, 5, 4) for j in jpegs)
+    after = images._huffman.cache_info()
+    assert after.hits + after.misses - before.hits - before.misses == 6 and after.misses - before.misses <= 2
+    assert len(images._huffman(b"\0\2" + bytes(14), b"ab")) == 1 << 16 and images._huffman(b"\3" + bytes(15), b"abc")[-1] == 1 << 8 | ord("b")
