@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 
 from packsight.functions import vector
@@ -106,3 +107,23 @@ def test_large_canvases_flatten_with_larger_tolerance(monkeypatch):
     for size in (767, 768, 1536):
         vector.rasterise(drawing, size)
     assert seen == [0.25, 0.35, 0.45]
+
+
+def test_shapes_are_kept_and_drawn_alike():
+    rng = np.random.default_rng(4)
+    drawing = lambda argb: vector.Drawing([vector.Path(vector.parse_path("M3.5,2h9.25v11l-4,3z"), vector.Solid(argb))], 24.0, 24.0)
+    canvas = rng.integers(0, 256, (48, 48, 4)).astype(np.uint8)
+    before, found = canvas.copy(), vector._kept.cache_info()
+    first, other, again = (vector.draw(canvas, drawing(c)) for c in (-1, 0x7F00FF00, -1))
+    after = vector._kept.cache_info()
+    assert after.misses - found.misses <= 1 and after.hits - found.hits >= 2
+    assert (canvas == before).all() and (first == again).all() and (first != other).any()
+    assert (first[10, 12] == 255).all() and (first[47, 47] == canvas[47, 47]).all()
+
+
+def test_canvases_and_paths_that_are_too_large_to_keep():
+    found = vector._kept.cache_info().currsize
+    path = "M0,0h24v24h-24z" + "M1,1h1v1h-1z" * 100
+    assert (vector.rasterise(vector.Drawing([vector.Path(vector.parse_path(path), vector.Solid(-1))], 24.0, 24.0), 24) == 255).all()
+    assert (vector.rasterise(vector.Drawing([vector.Path(vector.parse_path("M0,0h24v24h-24z"), vector.Solid(-1))], 24.0, 24.0), 300) == 255).all()
+    assert vector._kept.cache_info().currsize == found
