@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packsight.functions.images import encode_png
-from packsight.operators.metadata import METADATA, derived, metadata
+from packsight.operators.metadata import METADATA, derived_from, metadata
 from packsight.operators.ranking import order_statistic
 from packsight.operators.package import IconOptions, Package, Recording, render
 from packsight.operators.tables import flat_map
@@ -66,10 +66,11 @@ def preview(df: DataFrame, options: IconOptions = IconOptions(size=192)) -> Data
     """Metadata of each container that has it, with its icon where there is one: both from one reading of the blob."""
 
     def rows(data: bytes) -> list[tuple]:
-        found = derived(data)
+        package = Package(data, options)
+        found = derived_from(package)
         if not found:
             return []
-        icon = Package(data, options).record()
+        icon = package.record()
         return [(*found[0], encode_png(render(icon, options.size, options.mask, options.isolate)) if icon else None)]
 
     return flat_map(df, rows, f"{METADATA}, png binary").where("error IS NULL").drop("error")

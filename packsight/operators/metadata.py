@@ -198,7 +198,10 @@ def int_value(a: chunks.Attribute) -> int | None:
 
 def derived(data: bytes) -> list[tuple]:
     """One package's metadata, read once: the rules of ``metadata_of`` node by node. No manifest or name: no row."""
-    found = Package(data)
+    return derived_from(Package(data))
+
+
+def derived_from(found: Package) -> list[tuple]:
     if found.manifest is None:
         return []
     nodes = list(found.manifest.walk())

@@ -144,3 +144,18 @@ def test_a_huffman_table_is_built_once_for_all_files_that_have_it():
     after = images._huffman.cache_info()
     assert after.hits + after.misses - before.hits - before.misses == 6 and after.misses - before.misses <= 2
     assert len(images._huffman(b"\0\2" + bytes(14), b"ab")) == 1 << 16 and images._huffman(b"\3" + bytes(15), b"abc")[-1] == 1 << 8 | ord("b")
+
+
+def test_flat_bitmaps_stay_flat_and_mixing_is_per_pixel():
+    for argb in (-1, 0x00123456, 0x01FF8000, 0x7F010203):
+        flat = raster.filled(3, 5, argb)
+        want = (flat[0, 0] * (argb >> 24 != 0)).tolist()
+        assert raster.resize(flat, 40, 17).reshape(-1, 4).tolist() == [want] * 680
+    rng = np.random.default_rng(8)
+    under, over = rng.integers(0, 256, (2, 9, 7, 4)).astype(np.uint8)
+    under[::2, :, 3], over[:, ::3, 3], over[:, 1::3, 3] = 0, 0, 255
+    got = raster.composite(under, over)
+    for u, o, g in zip(*(x.reshape(-1, 4).tolist() for x in (under, over, got)), strict=True):
+        rest = (u[3] * (255 - o[3]) + 127) // 255
+        a = o[3] + rest
+        assert g == ([(o[i] * o[3] + u[i] * rest + a // 2) // a for i in range(3)] + [a] if a else [0] * 4)

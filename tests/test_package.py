@@ -150,3 +150,16 @@ def test_names_inside_drawables_mean_pictures_first():
     assert shown == red
     alone = raster.uniform(render(Package(write_archive(members[:3])).record(), 16, mask="none"))
     assert alone == blue
+
+
+def test_metadata_and_icon_come_from_one_parse(monkeypatch):
+    from packsight.operators import metadata, package as module
+
+    seen, parse = [], module.parse_xml
+    monkeypatch.setattr(module, "parse_xml", lambda data: seen.append(data) or parse(data))
+    data = package(2)
+    found = Package(data)
+    assert metadata.derived_from(found) == metadata.derived(data)
+    seen.clear()
+    found.record()
+    assert found.archive.read("AndroidManifest.xml") not in seen
