@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from packsight.session import ship
+from packsight.session import ship_for_packages
 from packsight.sources.archive import MANIFEST, TABLE, BadPackage, open_package
 from packsight.sources.chunks import ResourceTable, parse_xml
 
@@ -25,8 +25,8 @@ ATTRIBUTES = "container_id string, file string, node_id int, ord int, ns string,
 MANIFEST_ROWS = "container_id string, node_id int, parent_id int, tag string, ord int, name string, raw string, vtype int, vdata int"
 VALUES = "container_id string, res_id int, config_ord int, value_ord int, kind string, str string, argb int, ref_id int"
 ERROR = ", error string"
-#: Rows that a Python stage hands back at a time.
-ROWS = 4096
+#: Rows that a Python stage hands back at a time, and bytes in their binary columns.
+ROWS, BYTES = 4096, 4 << 20
 
 
 def containers(spark: SparkSession, path: str, pattern: str = "*.{apk,apks,zip}") -> DataFrame:
@@ -43,17 +43,22 @@ def containers_of(spark: SparkSession, blobs: Iterable[tuple[str, bytes]]) -> Da
 def flat_map(df: DataFrame, rows: Callable[[bytes], Iterable[tuple]], schema: str, mode: str = "PERMISSIVE") -> DataFrame:
     """Rows of every blob behind its container_id, and an error column.
 
-    A few blobs at a time cross over to Python (they are whole packages), and rows go back in batches of ``ROWS``.
+    A few blobs at a time cross over to Python (they are whole packages), and rows go back in batches of ``ROWS``, or of fewer
+    where they hold ``BYTES`` of pictures or packages.
     """
-    ship(df.sparkSession)
+    ship_for_packages(df.sparkSession)
     full: StructType = _parse_datatype_string(schema + ERROR)
     arrow = to_arrow_schema(full)
     width = len(full) - 2
+    binary = [i for i, f in enumerate(arrow) if pa.types.is_binary(f.type) or pa.types.is_large_binary(f.type)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
+            nonlocal size
+            size = 0
             columns = [pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)]
             held.clear()
             return pa.RecordBatch.from_arrays(columns, schema=arrow)
@@ -66,7 +71,8 @@ def flat_map(df: DataFrame, rows: Callable[[bytes], Iterable[tuple]], schema: st
                         raise BadPackage("no content")
                     for row in rows(data):
                         held.append((name, *row, None))
-                        if len(held) >= ROWS:
+                        size += sum(len(held[-1][i] or b"") for i in binary)
+                        if len(held) >= ROWS or size >= BYTES:
                             yield flush()
                 except Exception as e:  # whatever a hostile blob does to a parser, the job goes on
                     if mode == "FAILFAST":

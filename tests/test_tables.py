@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,33 @@ def test_last_duplicates_with_counts(spark):
     assert tables.last_duplicates(df).columns == df.columns[:-1]
 
 
+def test_large_packages_cross_over_a_few_at_a_time(spark):
+    """Both ways: 30 packages of a megabyte are neither one batch in nor, as base members, one batch out."""
+    big = F.expr("repeat('x', 1000000)").cast("binary")
+    df = spark.range(0, 30, 1, 1).select(F.col("id").cast("string").alias("container_id"), big.alias("content"))
+    out = tables.flat_map(df, lambda data: [(bytes(data),)], "container_id string, content binary")
+    count = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    for found in (df, out):
+        sizes = [r.n for r in found.mapInArrow(count, "n long").collect()]
+        assert sum(sizes) == 30 and max(sizes) <= 6
+
+
+def test_rows_go_back_before_they_are_many_bytes():
+    seen = []
+
+    class Plan:
+        sparkSession = None
+        select = lambda self, *c: self
+        mapInArrow = lambda self, run, schema: run
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tables, "ship_for_packages", lambda spark: seen.append(spark))
+        run = tables.flat_map(Plan(), lambda data: [(data,), (None,)], "container_id string, content binary")
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(30)]), pa.array([b"x" * 1_000_000] * 30)], ["container_id", "content"])
+    sizes = [b.num_rows for b in run(iter([batch]))]
+    assert sum(sizes) == 60 and max(sizes) <= 10 and seen == [None]
+
+
 def test_stage_report(spark):
     row = icons.stage_report(spark.createDataFrame([("a", float(i)) for i in range(10)], "stage string, ms double")).first()
     assert (row.n, row.total_ms, row.p50_ms, row.p95_ms, row.max_ms) == (10, 45.0, 4.0, 8.0, 9.0)
